@@ -47,9 +47,7 @@ def ids_text(arr: Column) -> Column:
     return F.array_join(F.transform(arr, lambda x: x.cast("string")), ",")
 
 
-@F.arrow_udf("array<int>")
-def running_sums(lengths: pa.Array) -> pa.Array:
-    """Inclusive running sums inside each array, vectorised over the whole batch."""
+def _running_sums(lengths: pa.Array) -> pa.Array:
     offsets = lengths.offsets.to_numpy()
     flat = lengths.values.to_numpy(zero_copy_only=False).astype(np.int64)
     sums = np.concatenate([[0], np.cumsum(flat)])
@@ -58,3 +56,8 @@ def running_sums(lengths: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(
         pa.array(offsets - offsets[0], pa.int32()), pa.array(inside, pa.int32())
     )
+
+
+def running_sums(lengths: Column) -> Column:
+    """Inclusive running sums inside each array, vectorised over the whole batch."""
+    return F.arrow_udf(_running_sums, "array<int>")(lengths)

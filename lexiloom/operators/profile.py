@@ -59,14 +59,26 @@ def quantile_vector(df: DataFrame, column: str, probs: Sequence[float], accuracy
     return df.agg(values.alias("q")).select(F.inline(F.arrays_zip(wanted.alias("prob"), F.col("q").alias("value"))))
 
 
-def token_loss_profile(df: DataFrame, min_freq: int = 15, top: int = 50, digits: int = 6) -> DataFrame:
-    """Mean, sample deviation and count per token, frequent tokens only, worst means first."""
-    per_token = df.groupBy("token").agg(
-        F.count(F.lit(1)).alias("freq"),
-        F.round(F.avg("loss"), digits).alias("mean_loss"),
-        F.round(F.stddev_samp("loss"), digits).alias("sd_loss"),
+def token_loss_profile(
+    df: DataFrame, min_freq: int = 15, top: int = 50, digits: int = 6, weight: str | None = None
+) -> DataFrame:
+    """Mean, sample deviation and count per token, frequent tokens only, worst means first.
+
+    ``weight`` counts how often a row occurred, so pre-aggregated losses need no expansion.
+    """
+    w = F.col(weight) if weight else F.lit(1)
+    sums = df.groupBy("token").agg(
+        F.sum(w).alias("freq"),
+        F.sum(F.col("loss") * w).alias("s1"),
+        F.sum(F.col("loss") * F.col("loss") * w).alias("s2"),
+    )
+    n = F.col("freq").cast("double")
+    mean = F.col("s1") / n
+    variance = F.greatest((F.col("s2") - F.col("s1") * mean) / (n - 1), F.lit(0.0))
+    frequent = sums.filter(F.col("freq") > max(min_freq, 1)).select(
+        "token", "freq", F.round(mean, digits).alias("mean_loss"), F.round(F.sqrt(variance), digits).alias("sd_loss")
     )
-    return per_token.filter(F.col("freq") > min_freq).orderBy(F.desc("mean_loss"), "token").limit(top)
+    return frequent.orderBy(F.desc("mean_loss"), "token").limit(top)
 
 
 def loss_tail_mean(df: DataFrame, order: Sequence[str], loss: str = "loss", last: int = 16) -> DataFrame:

@@ -1,4 +1,4 @@
 """Named queries over the driver tables, one module per operator family."""
 
-from . import cleaning, dedup, sources  # noqa: F401
+from . import cleaning, dedup, softlabels, sources, tokens, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
