@@ -20,20 +20,36 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Inside a lambda Spark evaluates an outer expression again for every element; bound as a
+    lambda variable it is evaluated once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
     """v / max(|v|, eps)."""
-    scale = F.greatest(norm(v), F.lit(eps))
-    return F.transform(v, lambda x: x / scale)
+    return let(v, lambda u: let(F.greatest(norm(u), F.lit(eps)), lambda s: F.transform(u, lambda x: x / s)))
+
+
+def _shifted_exp(v: Column, body) -> Column:
+    """``body(top, exps)`` with top = max(v) and exps = exp(v - top)."""
+    return let(
+        v,
+        lambda u: let(
+            F.array_max(u), lambda top: let(F.transform(u, lambda x: F.exp(x - top)), lambda e: body(top, e))
+        ),
+    )
 
 
 def logsumexp(v: Column) -> Column:
-    top = F.array_max(v)
-    return top + F.log(total(F.transform(v, lambda x: F.exp(x - top))))
+    return _shifted_exp(v, lambda top, e: top + F.log(total(e)))
 
 
 def softmax(v: Column) -> Column:
-    lse = logsumexp(v)
-    return F.transform(v, lambda x: F.exp(x - lse))
+    return _shifted_exp(v, lambda top, e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def pad_to(arr: Column, length: int, fill: Column) -> Column:
