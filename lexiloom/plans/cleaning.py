@@ -70,7 +70,7 @@ def pairs(t: Tables) -> DataFrame:
 @query("quality_gate", f"""
 SELECT doc_id, CASE WHEN {bad_sql('text')} THEN '{V.GATE_INIT_REASON}' END AS drop_reason FROM documents""")
 def quality_gate(t: Tables):
-    return G.quality_gate(t.documents, **GATE).select("doc_id", "drop_reason")
+    return G.quality_gate(t.wide("documents"), **GATE).select("doc_id", "drop_reason")
 
 
 STAGED_SQL = f"""
@@ -82,7 +82,7 @@ FROM (SELECT *, {bad_sql('text')} AS b1, {bad_sql('c')} AS b2
 
 
 def staged(t: Tables) -> DataFrame:
-    return G.two_stage_gate(t.documents, **GATE)
+    return G.two_stage_gate(t.wide("documents"), **GATE)
 
 
 @query("two_stage_gate", f"""
@@ -110,15 +110,15 @@ MARKERS = "###|token =|[Ll]icense|%%%"
 
 @query("keyword_block", f"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, {lit(MARKERS)})")
 def keyword_block(t: Tables):
-    return G.drop_matching(t.documents, "text", MARKERS.split("|")).select("doc_id")
+    return G.drop_matching(t.wide("documents"), "text", MARKERS.split("|")).select("doc_id")
 
 
 @query("url_filter", f"""
 SELECT 'documents' AS src, doc_id AS id FROM documents WHERE NOT regexp_matches(text, {lit(V.URL)})
 UNION ALL SELECT 'pages', page_id FROM pages WHERE NOT regexp_matches(url || ' ' || html, {lit(V.URL)})""")
 def url_filter(t: Tables):
-    docs = G.without_url(t.documents).select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"))
-    pages = t.pages.select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
+    docs = G.without_url(t.wide("documents")).select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"))
+    pages = t.wide("pages").select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
     return docs.unionByName(
         G.without_url(pages).select(F.lit("pages").alias("src"), F.col("page_id").alias("id"))
     )
@@ -142,7 +142,7 @@ def pair_ratio_gate(t: Tables):
 @query("script_ratio", f"""
 SELECT doc_id FROM documents WHERE {cnt('text', BASIC)} / greatest(length(text), 1) >= 0.9""")
 def script_ratio(t: Tables):
-    return G.script_ratio(t.documents, char_class=BASIC, at_least=0.9).select("doc_id")
+    return G.script_ratio(t.wide("documents"), char_class=BASIC, at_least=0.9).select("doc_id")
 
 
 DOC_RULES = (
@@ -158,13 +158,13 @@ DOC_RULES = (
        + ", (" + " OR ".join(f"regexp_matches(text, {lit(p)})" for _, p in DOC_RULES)
        + ") AS is_dirty FROM documents WHERE text <> ''")
 def multi_rule_filter(t: Tables):
-    out = G.multi_rule_filter(t.documents, rules=DOC_RULES)
+    out = G.multi_rule_filter(t.wide("documents"), rules=DOC_RULES)
     return out.select("doc_id", *[f"hit_{n}" for n, _ in DOC_RULES], "is_dirty")
 
 
 @query("charclass_block", "SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[êßñ]')")
 def charclass_block(t: Tables):
-    return G.drop_matching(t.documents, "text", ["[êßñ]"]).select("doc_id")
+    return G.drop_matching(t.wide("documents"), "text", ["[êßñ]"]).select("doc_id")
 
 
 @query("funnel_first_hit", f"""
@@ -172,7 +172,7 @@ SELECT doc_id, CASE WHEN coalesce(length(text), 0) <= 100 THEN 'too_short' """
        + " ".join(f"WHEN regexp_matches(text, {lit(p)}) THEN '{n}'" for n, p in DOC_RULES)
        + f" WHEN {cnt('text', chr(92) + 'p{P}')} / length(text) >= 0.04 THEN 'punct_density' END AS drop_reason FROM documents")
 def funnel_first_hit(t: Tables):
-    out = G.funnel_first_hit(t.documents, rules=DOC_RULES, density=0.04)
+    out = G.funnel_first_hit(t.wide("documents"), rules=DOC_RULES, density=0.04)
     return out.select("doc_id", "drop_reason")
 
 
@@ -181,7 +181,7 @@ SELECT doc_id, round({cnt('text', chr(92) + 'p{P}')} / length(text), 6) AS densi
 WHERE {cnt('text', chr(92) + 'p{P}')} / length(text) < 0.15""")
 def punct_density(t: Tables):
     density = T.punct_density(F.col("text"))
-    return t.documents.filter(density < V.PUNCT_DENSITY_LIMIT).select(
+    return t.wide("documents").filter(density < V.PUNCT_DENSITY_LIMIT).select(
         "doc_id", F.round(density, 6).alias("density")
     )
 
@@ -199,7 +199,7 @@ SELECT doc_id, n_words, n_entities,
 FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))::INT AS n_words,
   len(list_distinct(regexp_extract_all(text, '\p{Lu}\p{L}+')))::INT AS n_entities FROM documents)""")
 def entity_density(t: Tables):
-    tagged = t.documents.select(
+    tagged = t.wide("documents").select(
         "doc_id",
         T.words(F.col("text")).alias("words"),
         F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}+"), F.lit(0)).alias("names"),
@@ -213,12 +213,12 @@ def entity_density(t: Tables):
 
 @query("strip_html", digest_sql(sub(sub("html", V.HTML_TAG), V.HTML_ENTITY), "pages", "page_id"))
 def strip_html(t: Tables):
-    return digest(t.pages, T.strip_html(F.col("html")), "page_id")
+    return digest(t.wide("pages"), T.strip_html(F.col("html")), "page_id")
 
 
 @query("normalize_quotes", digest_sql("translate(text, 'çñ', '\"\"')", "documents", "doc_id"))
 def normalize_quotes(t: Tables):
-    return digest(t.documents, T.normalize_quotes(F.col("text"), "çñ"), "doc_id")
+    return digest(t.wide("documents"), T.normalize_quotes(F.col("text"), "çñ"), "doc_id")
 
 
 TAGS_AS_LINES = sub("html", V.HTML_TAG, "\n")
@@ -230,11 +230,11 @@ FROM (SELECT doc_id, {sub('text', chr(92) + 'n+', chr(10))} AS t FROM documents)
 UNION ALL SELECT 'pages', page_id, length(t)::INT, md5(t)
 FROM (SELECT page_id, {sub(TAGS_AS_LINES, chr(92) + 'n{3,}', chr(10) * 2)} AS t FROM pages)""")
 def squeeze_newlines(t: Tables):
-    docs = t.documents.select(
+    docs = t.wide("documents").select(
         F.lit("documents").alias("src"), F.col("doc_id").alias("id"),
         T.squeeze_newlines(F.col("text")).alias("t"),
     )
-    pages = t.pages.select(
+    pages = t.wide("pages").select(
         F.lit("pages").alias("src"), F.col("page_id").alias("id"),
         T.squeeze_newlines(page_lines(), 3, 2).alias("t"),
     )
@@ -247,7 +247,7 @@ def page_lines():
 
 @query("collapse_ws", digest_sql(f"trim({sub('text', chr(92) + 's+', ' ')})", "documents", "doc_id"))
 def collapse_ws(t: Tables):
-    return digest(t.documents, T.collapse_whitespace(F.col("text")), "doc_id")
+    return digest(t.wide("documents"), T.collapse_whitespace(F.col("text")), "doc_id")
 
 
 LATIN_WRAPPERS = (r"^.*?(that|the) ", r"(under|with) the.*$", r"\| .*$")
@@ -256,7 +256,7 @@ LATIN_WRAPPERS = (r"^.*?(that|the) ", r"(under|with) the.*$", r"\| .*$")
 @query("strip_wrappers", digest_sql(
     sub(sub(sub("text", LATIN_WRAPPERS[0]), LATIN_WRAPPERS[1]), LATIN_WRAPPERS[2]), "documents", "doc_id"))
 def strip_wrappers(t: Tables):
-    return digest(t.documents, T.strip_wrappers(F.col("text"), LATIN_WRAPPERS), "doc_id")
+    return digest(t.wide("documents"), T.strip_wrappers(F.col("text"), LATIN_WRAPPERS), "doc_id")
 
 
 def list_marks_sql(e: str) -> str:
@@ -272,11 +272,11 @@ FROM (SELECT doc_id, {list_marks_sql('text')} AS t FROM documents)
 UNION ALL SELECT 'pages', page_id, length(t)::INT, md5(t)
 FROM (SELECT page_id, {list_marks_sql(TAGS_AS_LINES)} AS t FROM pages)""")
 def strip_list_marks(t: Tables):
-    docs = t.documents.select(
+    docs = t.wide("documents").select(
         F.lit("documents").alias("src"), F.col("doc_id").alias("id"),
         T.strip_list_marks(F.col("text")).alias("t"),
     )
-    pages = t.pages.select(
+    pages = t.wide("pages").select(
         F.lit("pages").alias("src"), F.col("page_id").alias("id"),
         T.strip_list_marks(page_lines()).alias("t"),
     )
@@ -286,7 +286,7 @@ def strip_list_marks(t: Tables):
 @query("strip_markdown", digest_sql(
     sub(sub(TAGS_AS_LINES, r"(?m)^\s*[-*]{3,}\s*$"), V.BOLD, r"\1"), "pages", "page_id"))
 def strip_markdown(t: Tables):
-    return digest(t.pages, T.strip_markdown(page_lines()), "page_id")
+    return digest(t.wide("pages"), T.strip_markdown(page_lines()), "page_id")
 
 
 @query("strip_reasoning", digest_sql(
@@ -318,7 +318,7 @@ def strip_news_tail(t: Tables):
     out = T.strip_news_tail(
         F.col("text"), timestamp="[0-9]{3}-[0-9]{4}", tail="(?s)(Released under.*)", title_mark="tion"
     )
-    return digest(t.documents, out, "doc_id")
+    return digest(t.wide("documents"), out, "doc_id")
 
 
 FOLD_FROM = "àâäçèéêëîïñóôöùúûüáí"
@@ -327,18 +327,18 @@ FOLD_TO = "aaaceeeeiinooouuuuai"
 
 @query("script_convert", digest_sql(f"translate(text, '{FOLD_FROM}', '{FOLD_TO}')", "documents", "doc_id"))
 def script_convert(t: Tables):
-    return digest(t.documents, T.convert_script(F.col("text"), FOLD_FROM, FOLD_TO), "doc_id")
+    return digest(t.wide("documents"), T.convert_script(F.col("text"), FOLD_FROM, FOLD_TO), "doc_id")
 
 
 @query("isolate_punct", digest_sql(sub(sub("text", V.ISOLATED_PUNCT, r" \1 "), r"\s+", " "), "documents", "doc_id"))
 def isolate_punct(t: Tables):
-    return digest(t.documents, T.isolate_punct(F.col("text")), "doc_id")
+    return digest(t.wide("documents"), T.isolate_punct(F.col("text")), "doc_id")
 
 
 @query("detokenize")
 def detokenize(t: Tables):
     tagged = F.concat(F.lit("<BOS>"), T.isolate_punct(F.col("text")), F.lit("<EOS>"))
-    return digest(t.documents, T.detokenize(tagged), "doc_id")
+    return digest(t.wide("documents"), T.detokenize(tagged), "doc_id")
 
 
 @query("parse_fenced_json", "SELECT event_id, (props->>'k')::INT AS k FROM events")
@@ -363,7 +363,7 @@ def align_columns(t: Tables):
 SELECT doc_id, length(text)::INT AS char_len, {cnt('text', ACCENTED)}::INT AS script_count,
   {cnt('text', '[a-zA-Z]')}::INT AS alpha_count, round({purity_sql('text')}, 6) AS pure_ratio FROM documents""")
 def char_stats(t: Tables):
-    return R.char_stats(t.documents, script=ACCENTED).select(
+    return R.char_stats(t.wide("documents"), script=ACCENTED).select(
         "doc_id", "char_len", "script_count", "alpha_count", F.round("pure_ratio", 6).alias("pure_ratio")
     )
 
@@ -373,7 +373,7 @@ SELECT count(*) AS n_docs, sum(n)::BIGINT AS total_chars, median(n)::DOUBLE AS m
   round(quantile_cont(n, 0.95), 4)::DOUBLE AS p95_chars, round(avg(p), 6) AS mean_purity
 FROM (SELECT length(text) AS n, {purity_sql('text')} AS p FROM documents)""")
 def corpus_stats(t: Tables):
-    report = R.corpus_report(R.char_stats(t.documents, script=ACCENTED))
+    report = R.corpus_report(R.char_stats(t.wide("documents"), script=ACCENTED))
     return report.withColumns(
         {"mean_purity": F.round("mean_purity", 6), "p95_chars": F.round("p95_chars", 4)}
     )

@@ -166,7 +166,7 @@ g AS (SELECT doc_id, count(*) AS n, md5(string_agg((e - length(tok))::VARCHAR, '
   md5(string_agg(e::VARCHAR, ',' ORDER BY i)) AS ends, string_agg(tok, '' ORDER BY i) AS again FROM s GROUP BY doc_id)
 SELECT g.doc_id, n::INT AS n_tokens, starts, ends, again = text AS rebuilt FROM g JOIN documents USING (doc_id)""")
 def token_spans(t: Tables):
-    tokens = t.documents.select("doc_id", "text", K.pieces(F.col("text"), PIECES).alias("tokens"))
+    tokens = t.wide("documents").select("doc_id", "text", K.pieces(F.col("text"), PIECES).alias("tokens"))
     return K.with_spans(tokens).select(
         "doc_id", F.size("tokens").alias("n_tokens"),
         F.md5(AR.ids_text(F.col("starts"))).alias("starts"), F.md5(AR.ids_text(F.col("ends"))).alias("ends"),
@@ -179,7 +179,7 @@ WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '{PIECES}') AS w FROM d
 c AS (SELECT doc_id, CASE WHEN len(w) > 64 THEN rtrim(array_to_string(w[1:64], ''), ' ' || chr(9) || chr(13) || chr(10)) ELSE text END AS t FROM p)
 SELECT doc_id, len(regexp_extract_all(t, '{PIECES}'))::INT AS n_tokens, md5(t) AS digest FROM c WHERE len(regexp_extract_all(t, '{PIECES}')) >= 2""")
 def truncate_by_span(t: Tables):
-    out = K.truncate_by_span(t.documents.select("doc_id", "text"), 64, PIECES)
+    out = K.truncate_by_span(t.wide("documents").select("doc_id", "text"), 64, PIECES)
     return out.select("doc_id", F.size("tokens").alias("n_tokens"), F.md5("text").alias("digest"))
 
 
