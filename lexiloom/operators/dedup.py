@@ -9,7 +9,9 @@ No step lists the pairs of a group, and no bucket is left out for being large:
 * a bucket with few undecided documents is checked row by row against their bounded list;
 * a bucket with many is first cleared by comparison with a bounded set of early members and
   then split: two signatures that differ in at most d slots must agree on at least one of
-  d + 1 slot groups, so the pairs of a bucket survive in its d + 1 smaller sub-buckets.
+  d + 1 slot groups, so the pairs of a bucket survive in its d + 1 smaller sub-buckets;
+* what is still crowded after the splits is compared with bounded lists of its undecided
+  documents, several lists per bucket, spread over salted tasks.
 """
 
 from __future__ import annotations
@@ -170,7 +172,7 @@ def near_duplicates(
     rows: int = 5,
     bucket_limit: int = 64,
     salt: int = 16,
-    max_rounds: int = 12,
+    max_splits: int = 1,
 ) -> DataFrame:
     """(doc) of all documents to drop. ``sigs`` is read several times and should be a table."""
     n_hashes = bands * rows
@@ -203,20 +205,24 @@ def near_duplicates(
         dropped = dropped.unionByName(
             _resolve_small(rest.join(easy, "bucket"), open_rows.join(easy, "bucket"), need, salt)
         )
-        hard = open_counts.filter(F.col("n_open") > bucket_limit).select("bucket")
-        if level == max_rounds:
-            raise RuntimeError("bucket splitting did not finish; raise bucket_limit or max_rounds")
-        rest = cut_lineage(_sub_buckets(rest.join(hard, "bucket"), n_hashes, need, level))
+        hard = open_counts.filter(F.col("n_open") > bucket_limit)
+        crowd = rest.join(hard.select("bucket"), "bucket")
+        if level == max_splits:
+            chunk = F.pmod(F.hash("doc"), F.ceil(F.col("n_open") / bucket_limit).cast("int"))
+            lists = open_rows.join(hard, "bucket").withColumn("chunk", chunk)
+            dropped = dropped.unionByName(_resolve_small(crowd, lists, need, salt, "chunk"))
+            break
+        rest = cut_lineage(_sub_buckets(crowd, n_hashes, need, level))
         level += 1
     if decided is not None:
         dropped = dropped.unionByName(decided)
     return dropped.distinct()
 
 
-def _resolve_small(items: DataFrame, undecided: DataFrame, need: int, salt: int) -> DataFrame:
-    """Every item against the bounded list of undecided documents of its bucket."""
-    listed = undecided.groupBy("bucket").agg(F.collect_list(F.struct("doc", "sig")).alias("members"))
-    return _matches(items, listed, need, salt, listed_is_later=True)
+def _resolve_small(items: DataFrame, undecided: DataFrame, need: int, salt: int, *chunk: str) -> DataFrame:
+    """Every item against the bounded lists of undecided documents of its bucket."""
+    listed = undecided.groupBy("bucket", *chunk).agg(F.collect_list(F.struct("doc", "sig")).alias("members"))
+    return _matches(items, listed.select("bucket", "members"), need, salt, listed_is_later=True)
 
 
 def drop_near_duplicates(df: DataFrame, key: str, text: str = "text", **options) -> DataFrame:

@@ -24,11 +24,12 @@ def assemble_frames(frames: DataFrame, *keys: str) -> DataFrame:
     return grouped.select(*keys, T.strip_lead_punct(joined).alias("answer"), F.size("_f").alias("n_frames"), "is_done")
 
 
-def assemble_stream(frames: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
+def assemble_stream(frames: DataFrame, timeout_ms: int | None = 60_000) -> DataFrame:
     """Stream of (request_id, seq, frame) to finished answers.
 
     State holds the frames of one open answer; the done marker closes it once every earlier frame
-    has arrived, a processing-time timeout closes it when the marker is lost.
+    has arrived, a processing-time timeout closes it when the marker is lost. ``timeout_ms=None``
+    is for bounded runs: a pending timeout would keep such a query alive.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -49,10 +50,12 @@ def assemble_stream(frames: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
             yield pd.DataFrame({"request_id": [key[0]], "raw": [text], "n_frames": [len(seqs)], "is_done": [last >= 0]})
         else:
             state.update((seqs, parts, last))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
 
+    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     closed = frames.groupBy("request_id").applyInPandasWithState(
         step, "request_id string, raw string, n_frames int, is_done boolean",
-        "seqs array<int>, parts array<string>, last int", "append", GroupStateTimeout.ProcessingTimeTimeout,
+        "seqs array<int>, parts array<string>, last int", "append", timeout,
     )
     return closed.select("request_id", T.strip_lead_punct(F.col("raw")).alias("answer"), "n_frames", "is_done")

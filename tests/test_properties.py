@@ -149,7 +149,7 @@ def test_batched_merges_equal_greedy_merges(spark, candidates):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
     df = spark.createDataFrame([(" ".join(words),)], "text string")
-    assert B.train_bpe(B.word_table(df), 30, candidates=candidates) == greedy_bpe(Counter(words), 30)
+    assert B.train_bpe(B.word_table(df), 15, candidates=candidates) == greedy_bpe(Counter(words), 15)
 
 
 def test_bpe_round_trip(spark):
@@ -175,7 +175,7 @@ def test_nearest_neighbours_match_brute_force(spark, blocks):
 
 def test_pagerank_sums_to_one_and_converges(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("b", "c"), ("d", "a")], "src string, dst string")
-    ranks = {r.node: r.rank for r in GR.pagerank(edges, iterations=60, tolerance=1e-9).collect()}
+    ranks = {r.node: r.rank for r in GR.pagerank(edges, iterations=25, tolerance=1e-4).collect()}
     assert sum(ranks.values()) == pytest.approx(1.0) and ranks["c"] > ranks["b"] > ranks["d"]
 
 
@@ -210,7 +210,7 @@ def test_streamed_frames_equal_batch(spark):
     src, out, state = (scratch_path(spark, n) for n in ("frames", "answers", "answers-state"))
     df.repartition(3).write.json(src)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(src)
-    query = FR.assemble_stream(stream).writeStream.format("parquet").option("path", out)
+    query = FR.assemble_stream(stream, timeout_ms=None).writeStream.format("parquet").option("path", out)
     query.option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(out)
     assert {(r.request_id, r.answer) for r in got.collect()} == want and got.filter("is_done").count() == 6
