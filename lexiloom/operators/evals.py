@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
-from math import erfc, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +23,7 @@ from .vectors import route_top_k
 def ngram_counts(docs: DataFrame, words: str = "w") -> tuple[DataFrame, DataFrame]:
     """(x, y, nxy) and (x, nx) tables of adjacent words inside each text."""
     n = F.size(words)
-    nexts = F.transform(F.slice(words, F.lit(2), n), lambda w: w)
+    nexts = F.slice(words, F.lit(2), n)
     zipped = F.arrays_zip(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))).alias("x"), nexts.alias("y"))
     pairs = docs.filter(n > 1).select(F.inline(zipped)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("nxy"))
     return pairs, docs.select(F.explode(words).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("nx"))

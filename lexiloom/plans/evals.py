@@ -9,19 +9,17 @@ from pyspark.sql import functions as F
 from ..functions import arrays as AR
 from ..functions import fixed_values as V
 from ..functions import text as T
-from ..functions.hashing import md5_int
 from ..operators import enrich as EN
 from ..operators import evals as E
 from ..operators import gates as G
-from ..operators import pairs as P
 from ..operators import vectors as VE
 from ..session import scratch_path, written_table
 from ..sources import jsonl as J
 from ..streaming import frames as FR
 from ..streaming import ingest as ST
-from .cleaning import GATE, PAIRS_SQL, STAGED_SQL, pairs, sub
+from .cleaning import GATE, PAIRS_SQL, STAGED_SQL, pairs
 from .registry import Tables, query
-from .sources import QA_SQL, RANKED_SQL, qa_log, qa_result, ranked_customers
+from .sources import QA_SQL, RANKED_SQL, qa_log, ranked_customers
 from .tokens import WORDS, doc_words
 from .vectors import D, DIRECTION_SQL, UNIT_SQL, VEC, directed
 

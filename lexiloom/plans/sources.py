@@ -131,9 +131,9 @@ def data_fingerprint(t: Tables):
 
 
 def qa_log(t: Tables):
-    second = F.col("conv_id") * 60 + F.col("turn")
+    logged = F.expr("timestampadd(SECOND, conv_id * 60 + turn, TIMESTAMP_NTZ '2024-01-01 00:00:00')")
     meta = F.struct(
-        F.date_format(F.timestamp_seconds(F.lit(1704067200) + second), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        F.date_format(logged, "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
         F.format_string("10.0.0.%d", F.col("conv_id") % 250).alias("ip"),
         F.lit("causal").alias("engine"),
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import arrays as AR
 from ..functions import fixed_values as V
 from ..functions import text as T
-from ..functions.hashing import uniform_draw
 from ..operators import bpe as B
 from ..operators import ordering as O
 from ..operators import profile as R

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays as AR
-from ..functions import fixed_values as V
-from ..functions import text as T
+from ..functions.hashing import md5_int
 from ..operators import gates as G
 from ..operators import graph as GR
-from ..operators import ordering as O
-from ..operators import profile as R
 from ..operators import vectors as VE
-from ..session import spread, written_table
+from ..session import written_table
 from .cleaning import lit
 from .registry import Tables, query
 from .tokens import WORDS, doc_words
@@ -29,21 +26,24 @@ m0 AS (SELECT label, list(x ORDER BY d) AS v FROM md GROUP BY label),
 m AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS c FROM m0)"""
 
 
+def vector_count(t: Tables):
+    """Number of vectors as a scalar subquery; words are hashed onto the whole vector table."""
+    return t.embeddings.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
 def label_means(t: Tables):
     return VE.mean_vectors(t.embeddings, ["label"], VEC)
 
 
 @query("mean_pool", f"""
 WITH w AS (SELECT doc_id, unnest({WORDS}) AS word FROM documents),
-tk AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 500 AS vec_id FROM w),
+tk AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id FROM w),
 x AS (SELECT doc_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS d FROM tk JOIN embeddings USING (vec_id)),
 a AS (SELECT doc_id, d, avg(x) AS x, count(*) AS n FROM x GROUP BY doc_id, d)
 SELECT doc_id, max(n) AS n_tokens, round(sum(x * d), 6) AS checksum, round(max(x), 6) AS top FROM a GROUP BY doc_id""")
 def mean_pool(t: Tables):
-    from ..functions.hashing import md5_int
-
     tokens = doc_words(t).select("doc_id", F.explode("w").alias("word")).select(
-        "doc_id", (md5_int(F.col("word")) % 500).alias("vec_id")
+        "doc_id", (md5_int(F.col("word")) % vector_count(t)).alias("vec_id")
     )
     out = VE.mean_pool(tokens, t.embeddings.select("vec_id", VEC), "doc_id", "vec_id")
     weighted = AR.total(F.transform(VEC, lambda x, i: x * (i + 1)))
@@ -52,12 +52,10 @@ def mean_pool(t: Tables):
 
 @query("token_embed_lookup", f"""
 WITH w AS (SELECT doc_id, unnest({WORDS}) AS word FROM documents),
-tk AS (SELECT ('0x' || substr(md5(word), 1, 8))::BIGINT % 700 AS vec_id, count(*) AS n FROM w GROUP BY 1)
+tk AS (SELECT ('0x' || substr(md5(word), 1, 8))::BIGINT % (SELECT count(*) + 200 FROM embeddings) AS vec_id, count(*) AS n FROM w GROUP BY 1)
 SELECT vec_id, n, round(embedding[1]::DOUBLE, 6) AS first_dim FROM tk LEFT JOIN embeddings USING (vec_id)""")
 def token_embed_lookup(t: Tables):
-    from ..functions.hashing import md5_int
-
-    tokens = doc_words(t).select(F.explode("w").alias("word")).groupBy((md5_int(F.col("word")) % 700).alias("vec_id"))
+    tokens = doc_words(t).select(F.explode("w").alias("word")).groupBy((md5_int(F.col("word")) % (vector_count(t) + 200)).alias("vec_id"))
     first = F.get(F.col(VEC), F.lit(0)).cast("double")
     table = t.embeddings.select("vec_id", F.round(first, 6).alias("first_dim"))
     return tokens.agg(F.count(F.lit(1)).alias("n")).join(table, "vec_id", "left").select("vec_id", "n", "first_dim")

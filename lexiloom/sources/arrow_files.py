@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.feather as feather
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
 from pyspark import TaskContext
