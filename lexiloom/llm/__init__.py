@@ -1,4 +1,4 @@
 """Operators of a training-data pipeline; each module holds one operator, its query and its SQL twin."""
 
-from . import exact_dedup, license_scan, url_rules, warc  # noqa: F401
+from . import decontaminate, exact_dedup, license_scan, pii, url_rules, warc  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
