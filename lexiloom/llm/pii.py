@@ -39,8 +39,7 @@ OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 KINDS = (
     Kind("email",
          r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]+@(?=[A-Za-z0-9-]+\.[A-Za-z0-9-])(?:(?!\.(?![A-Za-z0-9-]))[A-Za-z0-9.-])+",
-         "value rlike '[.][A-Za-z]{2,24}$'",
-         r"(?i)@(gmail|yahoo|outlook|hotmail|icloud|gmx|web|orange|proton|mail)", r"(?i)^(noreply|no-reply|postmaster|webmaster)@",
+         "true", r"(?i)@(gmail|yahoo|outlook|hotmail|icloud|gmx|web|orange|proton|mail)|[.](com|org|net|edu|de|fr|es)$", r"(?i)^(noreply|no-reply|postmaster|webmaster)@",
          "mail|contact|write|reply|from", "version|commit", True),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", f"value rlike '^{OCTET}([.]{OCTET}){{3}}$'",
          r"^(?!0|10\.|127\.|192\.168\.|255)", r"^(0|10\.|127\.|192\.168\.|255)", "ip|host|server|addr|login", "version|release|build|section", True),

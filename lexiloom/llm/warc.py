@@ -193,7 +193,7 @@ def lookup(spark: SparkSession, archive: Archive, keys: DataFrame) -> DataFrame:
                 found += numbers[max(low, 0) : high]
             yield pa.RecordBatch.from_pydict({"block": pa.array(sorted(set(found)), pa.int64())})
 
-    wanted = keys.select(F.col(keys.columns[0]).alias("key")).distinct()
+    wanted = keys.toDF("key").distinct()
     needed = wanted.mapInArrow(search, "block long").distinct()
     opened = spark.read.parquet(archive.blocks).select("block", "data").join(needed, "block", "left_semi")
 
