@@ -270,11 +270,12 @@ def _in_blocks(members: DataFrame, shingles: DataFrame) -> DataFrame:
     below = blocks.select("token", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below"))
     dealt = sized.join(blocks, ["token", "class"]).join(above, ["token", "class"], "left").join(below, ["token", "class"], "left")
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    upto = "sequence(0, {0} - 1)"
-    places = f"""concat(
-        transform({upto.format('blocks')}, x -> named_struct('c', class, 'i', least(s, x), 'd', class, 'j', greatest(s, x))),
-        if(above IS NULL, array(), transform({upto.format('above')}, x -> named_struct('c', class, 'i', s, 'd', class + 1, 'j', x))),
-        if(below IS NULL, array(), transform({upto.format('below')}, x -> named_struct('c', class - 1, 'i', x, 'd', class, 'j', s))))"""
+    # Within a block members meet wherever the block meets another one; a block alone is compared by itself.
+    places = """concat(
+        transform(filter(sequence(0, blocks - 1), x -> x != s), x -> named_struct('c', class, 'i', least(s, x), 'd', class, 'j', greatest(s, x))),
+        if(above IS NULL, array(), transform(sequence(0, above - 1), x -> named_struct('c', class, 'i', s, 'd', class + 1, 'j', x))),
+        if(below IS NULL, array(), transform(sequence(0, below - 1), x -> named_struct('c', class - 1, 'i', x, 'd', class, 'j', s))),
+        if(blocks = 1 AND above IS NULL AND below IS NULL, array(named_struct('c', class, 'i', s, 'd', class, 'j', s)), array()))"""
     placed = dealt.select("token", "doc", "part", F.explode(F.expr(places)).alias("p"))
     met = placed.join(shingles.select("doc", "shingles"), "doc")
     return met.groupBy("token", "p").applyInPandas(lambda g: _compare_block(g), "a long, b long")
