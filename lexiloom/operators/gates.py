@@ -146,7 +146,8 @@ def entity_density(
     """Name-list detection from two array columns that any tagger may produce.
 
     Dirty when there are more than ``max_distinct`` distinct entities *and* they make up more
-    than ``max_density`` of all words; texts under ``min_words`` words always pass.
+    than ``max_density`` of all words; texts under ``min_words`` words always pass. A text
+    without words is neither clean nor dirty and leaves the table.
     """
     n_words = F.size(words)
     n_distinct = F.size(F.array_distinct(F.col(entities)))
@@ -155,7 +156,7 @@ def entity_density(
         & (n_distinct > max_distinct)
         & (F.try_divide(n_distinct, n_words) > max_density)
     )
-    return df.withColumns(
+    return df.filter(n_words > 0).withColumns(
         {"n_words": n_words, "n_entities": n_distinct, "is_dirty": F.coalesce(dirty, F.lit(False))}
     )
 

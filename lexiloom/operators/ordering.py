@@ -142,11 +142,16 @@ def distinct_endpoints(edges: DataFrame, src: str = "src", dst: str = "dst") ->
     return edges.select(F.explode(F.array(src, dst)).alias("node")).distinct()
 
 
-def assign_batches(df: DataFrame, order: Sequence[Column], top: int, size: int, group: int = 10) -> DataFrame:
-    """Rank, batch and batch group of the ``top`` rows; the window sees at most ``top`` rows."""
-    chosen = df.orderBy(*order).limit(top)
-    rank = F.row_number().over(Window.orderBy(*order))
-    return chosen.withColumn("rank", rank).withColumns(
+def assign_batches(
+    df: DataFrame, order: Sequence[Column], size: int, coarse: Column, top: int | None = None, group: int = 10
+) -> DataFrame:
+    """Rank, batch and batch group of every row, or of the ``top`` rows.
+
+    ``coarse`` buckets the rows in the order of the ranking, so that no task ranks the whole table.
+    """
+    chosen = df if top is None else df.orderBy(*order).limit(top)
+    ranked = global_rank(chosen, coarse, F.lit(0), order)
+    return ranked.withColumn("rank", F.col("rank") + 1).withColumns(
         {
             "batch": F.floor((F.col("rank") - 1) / size) + 1,
             "batch_group": F.floor((F.col("rank") - 1) / (size * group)) + 1,

@@ -197,7 +197,7 @@ def sft_rules(t: Tables):
 SELECT doc_id, n_words, n_entities,
   (n_words >= 5 AND n_entities > 8 AND n_entities / n_words > 0.10) AS is_dirty
 FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))::INT AS n_words,
-  len(list_distinct(regexp_extract_all(text, '\p{Lu}\p{L}+')))::INT AS n_entities FROM documents)""")
+  len(list_distinct(regexp_extract_all(text, '\p{Lu}\p{L}+')))::INT AS n_entities FROM documents) WHERE n_words > 0""")
 def entity_density(t: Tables):
     tagged = t.wide("documents").select(
         "doc_id",

@@ -293,12 +293,12 @@ def set_difference(t: Tables):
 
 
 RANKED_SQL = """(SELECT c_name AS name, c_acctbal AS score, row_number() OVER (ORDER BY c_acctbal DESC, c_name) AS rank
- FROM customer QUALIFY rank <= 30000)"""
+ FROM customer)"""
 
 
 def ranked_customers(t: Tables):
     rows = t.customer.select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("score"))
-    return O.assign_batches(rows, [F.desc("score"), F.col("name")], top=30000, size=V.PROMPT_BATCH)
+    return O.assign_batches(rows, [F.desc("score"), F.col("name")], V.PROMPT_BATCH, coarse=F.floor(-F.col("score") / 50))
 
 
 @query("batch_assign", f"""

@@ -120,10 +120,10 @@ def test_projection():
     table = np.full((10, 1), 2, dtype=np.int32)
     table[6, 0], table[7, 0], table[8, 0] = 5, 5, 1
     tids, probs = np.array([6, 7, 8]), np.array([0.4, 0.3, 0.2])
-    ids, p = S.project_position(tids, probs, 0, table, 4, frozenset(V.JUNK_STUDENT_IDS), False)
-    assert ids.tolist() == [5, 1, 1, 1] and p.tolist() == pytest.approx([0.7, 0, 0, 0])
-    _, p = S.project_position(tids, probs, 0, table, 4, frozenset(V.JUNK_STUDENT_IDS), True)
-    assert p.tolist() == pytest.approx([1.0, 0, 0, 0])
+    ids, p = S.project_positions(tids[None], probs[None], np.array([0]), table, 4, frozenset(V.JUNK_STUDENT_IDS), False)
+    assert ids[0].tolist() == [5, 1, 1, 1] and p[0].tolist() == pytest.approx([0.7, 0, 0, 0])
+    _, p = S.project_positions(tids[None], probs[None], np.array([0]), table, 4, frozenset(V.JUNK_STUDENT_IDS), True)
+    assert p[0].tolist() == pytest.approx([1.0, 0, 0, 0])
 
 
 def test_id_guard(spark):
