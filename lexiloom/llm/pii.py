@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written_table
 from .base import query, table, text_or_empty
 
 
@@ -157,7 +158,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A base kind's span is accepted when it passes its check, whatever the votes; a further kind's
     when the classifier gives it at least one half. Null text counts as empty and has no spans.
     """
-    voted = with_votes(candidates(docs, id_col, text_col))
+    # Both the votes' counts and the answer read the spans, so the texts are matched once and the spans written.
+    voted = written_table(with_votes(candidates(docs, id_col, text_col)).drop("left", "right"), "pii-spans")
     seen = sorted(voted.groupBy(*FEATURES).count().collect())
     x = np.array([[r[f] for f in FEATURES] for r in seen], dtype=int).reshape(len(seen), len(FEATURES))
     counts = np.array([r["count"] for r in seen], dtype=float)
