@@ -165,7 +165,10 @@ def set_risk(pct: Column) -> Column:
 
 
 def risk_bands(df: DataFrame, value: str, band: str) -> DataFrame:
-    """Rows per risk band with minimum, median and maximum of the value."""
+    """Rows per risk band with minimum, median and maximum of the value.
+
+    The median keeps a counter per distinct value; a share of a set has as many as the set has sizes.
+    """
     return df.groupBy(F.col(band).alias("band")).agg(
         F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.percentile(value, F.lit(0.5)).alias("mid"), F.max(value).alias("high")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as T
+from .ordering import exact_quantiles
 
 
 def bad_text(
@@ -190,14 +191,13 @@ def concept_keep_mask(
 ) -> DataFrame:
     """Adds ``keep``: (not black-listed and (above the cut-off or keyword)) or white-listed.
 
-    The cut-off is a scalar subquery over the same rows; ``accuracy`` switches it from the
-    exact percentile to ``approx_percentile`` for very large inputs.
+    The cut-off is the exact quantile of the same rows, found in a few passes; with ``accuracy`` it
+    is a scalar subquery over a sketch.
     """
     if accuracy is None:
-        edge = F.percentile(sim_diff, F.lit(cutoff))
+        threshold = F.lit(exact_quantiles(df, sim_diff, [cutoff])[0]).cast("double")
     else:
-        edge = F.percentile_approx(sim_diff, cutoff, accuracy)
-    threshold = df.agg(edge.alias("edge")).scalar()
+        threshold = df.agg(F.percentile_approx(sim_diff, cutoff, accuracy).alias("edge")).scalar()
     label = F.replace(F.col(name), F.lit("_"), F.lit(" "))
     black = label.rlike(invalid) | label.rlike(entity)
     keep = (~black & ((F.col(sim_diff) > threshold) | label.rlike(keywords))) | label.rlike(whitelist)

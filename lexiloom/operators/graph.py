@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import text as T
 from ..session import cut_lineage
-from .ordering import not_in
+from .ordering import exact_quantiles, not_in
 
 HREF = 'href="([^"]*)"'
 
@@ -112,9 +112,9 @@ def pagerank(
 
 
 def prune_edges(edges: DataFrame, sim: str = "sim", cutoff: float = 0.20, accuracy: int | None = None) -> DataFrame:
-    """Keep edges at or above the ``cutoff`` quantile of their similarity."""
+    """Keep edges at or above the ``cutoff`` quantile of their similarity; pass a written table."""
     if accuracy is None:
-        edge = F.percentile(sim, F.lit(cutoff))
+        edge = F.lit(exact_quantiles(edges, sim, [cutoff])[0]).cast("double")
     else:
-        edge = F.percentile_approx(sim, cutoff, accuracy)
-    return edges.filter(F.col(sim) >= edges.agg(edge.alias("e")).scalar())
+        edge = edges.agg(F.percentile_approx(sim, cutoff, accuracy).alias("e")).scalar()
+    return edges.filter(F.col(sim) >= edge)

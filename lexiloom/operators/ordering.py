@@ -8,6 +8,7 @@ and only the small table of bucket totals is summed up.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +77,87 @@ def running_offsets(
     )
 
 
+def order_statistics(
+    values: DataFrame, ranks: Sequence[int], n: int, limit: int = 100_000, accuracy: int = 10_000
+) -> dict[int, float]:
+    """The values at the 0-based ``ranks`` of the ``n`` rows of the one-column table ``values`` (double, no nulls).
+
+    Each open rank keeps an open interval that must hold it. A pass narrows the interval between two
+    values of a sketch and counts rows below, at and between them, so an answer never rests on the
+    sketch. Once at most ``limit`` rows are left inside, their distinct values are fetched.
+    """
+    (name,) = values.columns
+    v = F.col(name)
+    inside = lambda low, high: (F.lit(True) if low is None else v > low) & (F.lit(True) if high is None else v < high)
+    found: dict[int, float] = {}
+    spans = {r: (None, None, 0, n) for r in ranks}  # low, high, rows before the interval, rows in it
+    while wide := [r for r, s in spans.items() if r not in found and s[3] > limit]:
+        sketch = []
+        for r in wide:
+            low, high, before, size = spans[r]
+            shares = [min(max((r - before) / size + slack / accuracy, 0.0), 1.0) for slack in (-2, 2)]
+            sketch.append(F.percentile_approx(F.when(inside(low, high), v), shares, accuracy).alias(f"s{r}"))
+        ends = values.agg(*sketch).first()
+        tally = []
+        for r in wide:
+            low, high, _, _ = spans[r]
+            left, right = ends[f"s{r}"]
+            within = inside(low, high)
+            tally.append(F.struct(
+                F.count_if(within & (v < left)).alias("under"), F.count_if(within & (v == left)).alias("left"),
+                F.count_if(inside(left, right)).alias("mid"), F.count_if(within & (v == right)).alias("right"),
+            ).alias(f"t{r}"))
+        counts = values.agg(*tally).first()
+        for r in wide:
+            low, high, before, size = spans[r]
+            left, right = ends[f"s{r}"]
+            under, at_left, mid, at_right = counts[f"t{r}"]
+            at = r - before
+            if at < under:
+                spans[r] = (low, left, before, under)
+            elif at < under + at_left:
+                found[r] = left
+            elif at < under + at_left + mid:
+                spans[r] = (left, right, before + under + at_left, mid)
+            elif left < right and at < under + at_left + mid + at_right:
+                found[r] = right
+            else:
+                past = under + at_left + mid + (at_right if left < right else 0)
+                spans[r] = (right, high, before + past, size - past)
+    left_over = [r for r in spans if r not in found]
+    if left_over:
+        wanted = F.lit(False)
+        for r in left_over:
+            wanted = wanted | inside(*spans[r][:2])
+        rows = sorted((x[name], x["n"]) for x in values.filter(wanted).groupBy(name).agg(F.count(F.lit(1)).alias("n")).collect())
+        for r in left_over:
+            low, high, seen, _ = spans[r]
+            for value, count in rows:
+                if (low is None or value > low) and (high is None or value < high):
+                    seen += count
+                    if r < seen:
+                        found[r] = value
+                        break
+    return found
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], limit: int = 100_000) -> list[float | None]:
+    """Quantiles with linear interpolation, as ``percentile`` defines them, without its counter per value.
+
+    Nulls and NaN do not count; without rows every quantile is null. ``df`` is read a few times
+    (two for up to ``limit`` rows, two more for each factor of about 2500), so pass a written table
+    where it is dear. The driver holds at most ``limit`` values per quantile end.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    n = values.count()
+    if n == 0:
+        return [None] * len(probs)
+    places = [float(p) * (n - 1) for p in probs]
+    at = order_statistics(values, sorted({r for x in places for r in (floor(x), ceil(x))}), n, limit)
+    between = lambda x: at[floor(x)] if at[floor(x)] == at[ceil(x)] else (ceil(x) - x) * at[floor(x)] + (x - floor(x)) * at[ceil(x)]
+    return [between(x) for x in places]
+
+
 def top_n(df: DataFrame, score: str, n: int, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(score), *ties).limit(n)
 

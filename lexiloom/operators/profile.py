@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as T
+from .ordering import exact_quantiles
 
 
 def char_stats(df: DataFrame, text: str = "text", script: str = V.HAN, letters: str = V.LETTERS) -> DataFrame:
@@ -52,9 +53,9 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
 def quantile_vector(df: DataFrame, column: str, probs: Sequence[float], accuracy: int | None = None) -> DataFrame:
     """One row per requested quantile; ``accuracy`` selects the sketch for very large inputs."""
     if accuracy is None:
-        values = F.percentile(column, F.array(*[F.lit(float(p)) for p in probs]))
-    else:
-        values = F.percentile_approx(column, [float(p) for p in probs], accuracy)
+        rows = list(zip([float(p) for p in probs], exact_quantiles(df, column, probs)))
+        return df.sparkSession.createDataFrame(rows, "prob double, value double")
+    values = F.percentile_approx(column, [float(p) for p in probs], accuracy)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     return df.agg(values.alias("q")).select(F.inline(F.arrays_zip(wanted.alias("prob"), F.col("q").alias("value"))))
 

@@ -231,3 +231,30 @@ def test_feather_schema_and_config_mismatch(spark):
     old = spark.createDataFrame([("top_k", "16"), ("model", "a")], "name string, value string")
     new = spark.createDataFrame([("top_k", "32"), ("model", "a")], "name string, value string")
     assert [r.name for r in M.config_mismatches(old, new).collect()] == ["top_k"]
+
+
+@pytest.mark.parametrize("limit", [3, 40, 100_000])
+def test_exact_quantiles_match_numpy(spark, limit):
+    """Ties at both ends of an interval, one hot value, long tails, nulls."""
+    rng = random.Random(limit)
+    xs = [rng.gauss(0, 1e6) for _ in range(1500)] + [7.5] * 900 + [rng.choice([-1.0, 2.0]) for _ in range(600)]
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,)] * 5, "x double")
+    probs = [0.0, 0.06, 0.25, 0.5, 0.731, 0.85, 1.0]
+    assert np.allclose(O.exact_quantiles(df, "x", probs, limit), np.quantile(xs, probs), rtol=1e-12)
+    assert O.exact_quantiles(df.filter("x IS NULL"), "x", [0.5]) == [None]
+
+
+@pytest.mark.parametrize("n_codes, limit", [(5000, 4096), (60, 5)])
+def test_codebook_of_several_blocks(spark, n_codes, limit):
+    rng = np.random.default_rng(5)
+    codes, rows = rng.normal(size=(n_codes, 4)), rng.normal(size=(40, 4))
+    codes[n_codes - 1] = codes[3]  # a tie across blocks goes to the first code
+    rows[0] = codes[3] * 2
+    book = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(codes)], "code int, v array<double>")
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "id int, v array<double>")
+    sims = (rows / np.linalg.norm(rows, axis=1)[:, None]) @ (codes / np.linalg.norm(codes, axis=1)[:, None]).T
+    got = {r["id"]: r for r in VE.codebook_assign(df, book, "v", "code", limit).collect()}
+    assert got[0]["code"] == 3
+    assert all(got[i]["code"] == sims[i].argmax() for i in range(1, 40))
+    best = {r["id"]: r["max_sim"] for r in VE.max_anchor_sim(df, book, "v", "code", limit).collect()}
+    assert np.allclose([best[i] for i in range(40)], sims.max(axis=1))
