@@ -226,9 +226,30 @@ def bpe_rows(t: Tables):
     return kept.withColumn("text", T.isolate_punct(F.col("text")))
 
 
-@query("bpe_train")
+N_MERGES = 40
+
+#: Every word of the corpus with its symbols, then one greedy merge per step.
+BPE_SQL = r"""
+WITH tx AS (SELECT doc_id, string_split_regex(trim(t), '\s+') AS ws FROM (SELECT doc_id, """ + (
+    sub(sub("text", V.ISOLATED_PUNCT, r" \1 "), r"\s+", " ") + r""" AS t FROM documents)),
+dw AS (SELECT * FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM tx) WHERE word <> ''),
+w0 AS MATERIALIZED (SELECT word, chr(1) || array_to_string(regexp_extract_all('▁' || word, '(?s).'), chr(2) || chr(1)) || chr(2) AS s, count(*) AS freq
+  FROM dw GROUP BY word)""") + "".join(f""",
+p{i} AS (SELECT p.l, p.r, sum(freq) AS n FROM (SELECT unnest(list_transform(range(1, len(x)), lambda k: {{'l': x[k], 'r': x[k + 1]}})) AS p, freq
+  FROM (SELECT string_split(s[2:length(s) - 1], chr(2) || chr(1)) AS x, freq FROM w{i - 1})) GROUP BY ALL),
+b{i} AS MATERIALIZED (SELECT {i}::INT AS rank, l, r FROM p{i} WHERE n >= 2 ORDER BY n DESC, l, r LIMIT 1),
+w{i} AS MATERIALIZED (SELECT word, coalesce(replace(s, chr(1) || l || chr(2) || chr(1) || r || chr(2), chr(1) || l || r || chr(2)), s) AS s, freq
+  FROM w{i - 1} LEFT JOIN b{i} ON true)""" for i in range(1, N_MERGES + 1)) + """,
+merges AS (""" + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(1, N_MERGES + 1)) + ")"
+
+
+def whole_texts(t: Tables):
+    return spread(t.documents.select("doc_id", "text")).withColumn("text", T.isolate_punct(F.col("text")))
+
+
+@query("bpe_train", BPE_SQL + ' SELECT rank, l AS "left", r AS "right" FROM merges')
 def bpe_train(t: Tables):
-    merges = B.train_bpe(B.word_table(spread(bpe_rows(t))), n_merges=40)
+    merges = B.train_bpe(B.word_table(whole_texts(t)), n_merges=N_MERGES)
     return t.spark.createDataFrame(
         [(i + 1, left, right) for i, (left, right) in enumerate(merges)], "rank INT, left STRING, right STRING"
     )
@@ -245,13 +266,24 @@ def bpe_first_merge(t: Tables):
     return B.pair_counts(B.word_table(spread(bpe_rows(t)))).orderBy(F.desc("n"), "left", "right").limit(1)
 
 
-@query("bpe_encode")
+@query("bpe_encode", BPE_SQL + f""",
+ch AS (SELECT c, sum(freq) AS n FROM (SELECT unnest(string_split(s[2:length(s) - 1], chr(2) || chr(1))) AS c, freq FROM w0) GROUP BY c),
+cr AS (SELECT c, row_number() OVER (ORDER BY n DESC, c) AS pos, sum(n) OVER (ORDER BY n DESC, c) - n AS before, sum(n) OVER () AS total FROM ch),
+sy AS (SELECT c AS sym, pos FROM cr WHERE before::DOUBLE < total::DOUBLE * 0.9999::DOUBLE AND pos <= 16384
+  UNION ALL SELECT l || r, 1000000 + rank FROM merges),
+voc AS (SELECT sym, row_number() OVER (ORDER BY min(pos)) + 4 AS id FROM sy GROUP BY sym QUALIFY id <= 16384),
+wx AS (SELECT word, string_split(s[2:length(s) - 1], chr(2) || chr(1)) AS x FROM w{N_MERGES}),
+we AS (SELECT word, list(coalesce(id, 2)::INT ORDER BY j) AS ids
+  FROM (SELECT word, unnest(x) AS sym, generate_subscripts(x, 1) AS j FROM wx) LEFT JOIN voc USING (sym) GROUP BY word),
+de AS (SELECT doc_id, flatten(list(ids ORDER BY i)) AS ids FROM dw JOIN we USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(ids), 0)::INT AS n_tokens, md5(coalesce(array_to_string(ids, ','), '')) AS digest
+FROM documents LEFT JOIN de USING (doc_id)""")
 def bpe_encode(t: Tables):
-    words = B.word_table(spread(bpe_rows(t)))
-    merges = B.train_bpe(words, n_merges=40)
+    texts = whole_texts(t)
+    words = written_table(B.word_table(texts), "bpe-words")
+    merges = B.train_bpe(words, n_merges=N_MERGES)
     vocab = B.build_vocab(B.alphabet(words), merges)
-    docs = spread(t.documents.select("doc_id", "text")).withColumn("text", T.isolate_punct(F.col("text")))
-    ids = docs.select("doc_id", "text", B.encoder(merges, vocab)("text").alias("ids"))
+    ids = texts.select("doc_id", B.encoder(merges, vocab)("text").alias("ids"))
     return ids.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(AR.ids_text(F.col("ids"))).alias("digest"))
 
 
