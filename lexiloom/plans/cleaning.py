@@ -335,7 +335,20 @@ def isolate_punct(t: Tables):
     return digest(t.wide("documents"), T.isolate_punct(F.col("text")), "doc_id")
 
 
-@query("detokenize")
+GAP = r"[\s\x0B]+"
+CJK = r"([\x{4e00}-\x{9fa5}\x{3000}-\x{303f}\x{ff00}-\x{ffef}])"
+
+
+def detokenize_sql(e: str) -> str:
+    """Without look-around: captured neighbours are put back. One that serves two gaps needs a second run."""
+    e = sub(e, "<BOS>|<EOS>|<PAD>|<UNK>")
+    for left, right in [(CJK, CJK), (CJK, CJK), ("([a-zA-Z0-9])", "([,.?!:;/()])"), ("([(.])", "([a-zA-Z0-9])")]:
+        e = sub(e, left + GAP + right, r"\1\2")
+    return f"trim({e}, ' ' || chr(9) || chr(13) || chr(10))"
+
+
+@query("detokenize", digest_sql(
+    detokenize_sql("'<BOS>' || " + sub(sub("text", V.ISOLATED_PUNCT, r" \1 "), r"\s+", " ") + " || '<EOS>'"), "documents", "doc_id"))
 def detokenize(t: Tables):
     tagged = F.concat(F.lit("<BOS>"), T.isolate_punct(F.col("text")), F.lit("<EOS>"))
     return digest(t.wide("documents"), T.detokenize(tagged), "doc_id")
