@@ -1,9 +1,12 @@
-"""Column -> Column text functions, all on built-in expressions inside codegen."""
+"""Column -> Column text functions, on built-in expressions inside codegen but for phrase maps."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,6 +106,24 @@ def convert_script(text: Column, source: str, target: str) -> Column:
     return F.translate(text, source, target)
 
 
+def convert_phrases(text: Column, phrases: Mapping[str, str]) -> Column:
+    """Leftmost longest phrases replaced by their targets; what is replaced is not read again.
+
+    The map is user-supplied and travels with the function. Characters outside of phrases stay, so a
+    character map (``convert_script``) may follow.
+    """
+    if not phrases:
+        return text
+    known = dict(phrases)
+    pattern = re.compile("|".join(re.escape(p) for p in sorted(known, key=len, reverse=True)))
+
+    def convert(texts: pa.Array) -> pa.Array:
+        put = lambda m: known[m[0]]
+        return pa.array([None if t is None else pattern.sub(put, t) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(convert, "string")(text)
+
+
 def isolate_punct(text: Column, pattern: str = V.ISOLATED_PUNCT) -> Column:
     return F.regexp_replace(F.regexp_replace(text, pattern, " $1 "), r"\s+", " ")
 

@@ -59,6 +59,14 @@ def drop_matching(df: DataFrame, column: str, patterns: Sequence[str]) -> DataFr
     return df.filter(~hit)
 
 
+def drop_matching_pairs(
+    df: DataFrame, instruction_patterns: Sequence[str], output_patterns: Sequence[str],
+    instruction: str = "instruction", output: str = "output",
+) -> DataFrame:
+    """A blocklist of its own for each side of a pair."""
+    return drop_matching(drop_matching(df, instruction, instruction_patterns), output, output_patterns)
+
+
 def without_url(df: DataFrame, text: str = "text", pattern: str = V.URL) -> DataFrame:
     return drop_matching(df, text, [pattern])
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
+
+from ..operators.ordering import bucket_offsets
 
 TEXT_SCHEMA = "text STRING"
 QA_LOG_SCHEMA = "input STRING, output STRING, meta STRUCT<timestamp: STRING, ip: STRING, engine: STRING>"
@@ -25,9 +28,18 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str, wh
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line): absolute 1-based numbers, as needed by an error log."""
-    lines = spark.read.text(path).rdd.zipWithIndex()
-    return lines.map(lambda pair: (pair[1] + 1, pair[0][0])).toDF("line_no BIGINT, line STRING")
+    """(line_no, line): absolute 1-based numbers over the files in name order, as needed by an error log.
+
+    Lines are numbered inside their file split, which a task reads in order; only one row per split
+    goes through the prefix sum.
+    """
+    where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select(F.col("value").alias("line"), where.alias("at"), F.monotonically_increasing_id().alias("id"))
+    totals = lines.groupBy("at.file", "at.start").agg(F.count(F.lit(1)).alias("n"))
+    offsets = bucket_offsets(totals, "file", "start")
+    inside = F.row_number().over(Window.partitionBy("at").orderBy("id"))
+    numbered = lines.withColumn("inside", inside).select("line", "at.file", "at.start", "inside")
+    return numbered.join(offsets, ["file", "start"]).select((F.col("bucket_offset") + F.col("inside")).cast("bigint").alias("line_no"), "line")
 
 
 def json_problem(line: Column) -> Column:

@@ -27,29 +27,29 @@ def assemble_frames(frames: DataFrame, *keys: str) -> DataFrame:
 def assemble_stream(frames: DataFrame, timeout_ms: int | None = 60_000) -> DataFrame:
     """Stream of (request_id, seq, frame) to finished answers.
 
-    State holds the frames of one open answer; the done marker closes it once every earlier frame
-    has arrived, a processing-time timeout closes it when the marker is lost. ``timeout_ms=None``
+    State holds the frames of one open answer by number, so a replayed frame counts once; the done
+    marker closes it once every earlier frame has arrived, a processing-time timeout closes it when
+    the marker is lost. ``timeout_ms=None``
     is for bounded runs: a pending timeout would keep such a query alive.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, parts, last = state.get if state.exists else ([], [], -1)
-        seqs, parts = list(seqs), list(parts)
+        held = dict(zip(seqs, parts))
         if not state.hasTimedOut:
             for pdf in batches:
                 for seq, frame in zip(pdf["seq"], pdf["frame"]):
                     if frame == DONE:
                         last = int(seq)
                     else:
-                        seqs.append(int(seq))
-                        parts.append(frame)
-        finished = last >= 0 and len(seqs) >= last
+                        held[int(seq)] = frame
+        finished = last >= 0 and len(held) >= last
         if finished or state.hasTimedOut:
             state.remove()
-            text = "".join(p for _, p in sorted(zip(seqs, parts)))
-            yield pd.DataFrame({"request_id": [key[0]], "raw": [text], "n_frames": [len(seqs)], "is_done": [last >= 0]})
+            text = "".join(held[seq] for seq in sorted(held))
+            yield pd.DataFrame({"request_id": [key[0]], "raw": [text], "n_frames": [len(held)], "is_done": [last >= 0]})
         else:
-            state.update((seqs, parts, last))
+            state.update((list(held), list(held.values()), last))
             if timeout_ms is not None:
                 state.setTimeoutDuration(timeout_ms)
 
