@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed_values as V
 from ..functions import text as T
-from .ordering import exact_quantiles
+from ..session import written_table
+from .ordering import exact_quantiles, global_rank
 
 
 def char_stats(df: DataFrame, text: str = "text", script: str = V.HAN, letters: str = V.LETTERS) -> DataFrame:
@@ -100,63 +100,77 @@ def masked_mean(df: DataFrame, value: str, mask: Column, by: Sequence[str] = ())
     return df.groupBy(*by).agg(F.try_divide(F.sum(F.col(value) * weight), F.sum(weight)).alias("masked_mean"))
 
 
-def loess(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
-    """Local quadratic regression with tricube weights over the nearest ``span`` share of points.
+def _curve_points(df: DataFrame, span: float, points: int) -> DataFrame:
+    """(epoch, first, width, n, mean, i, p, reach): evaluation points and the distance to the last of their neighbours.
 
-    ``x`` is sorted, so the neighbourhood is a sliding window and the fit is O(n * window).
+    The neighbours of a point are the ``k`` nearest steps, which are consecutive: the window moves on
+    while the step that would enter is nearer than the one that would leave. So its start is the
+    number of rows whose midpoint with the row ``k`` places on lies before the point.
     """
-    n = len(x)
-    window = min(n, max(4, int(np.floor(span * n))))
-    if n < 4 or x[0] == x[-1]:
-        return np.full(n, y.mean())
-    out = np.empty(n)
-    left = 0
-    for i in range(n):
-        while left + window < n and x[left + window] - x[i] < x[i] - x[left]:
-            left += 1
-        xs = x[left : left + window] - x[i]
-        ys = y[left : left + window]
-        reach = np.abs(xs).max()
-        w = np.sqrt((1 - (np.abs(xs) / reach) ** 3) ** 3) if reach > 0 else np.ones(window)
-        design = np.stack([np.ones(window), xs, xs * xs], axis=1) * w[:, None]
-        coef, *_ = np.linalg.lstsq(design, ys * w, rcond=None)
-        out[i] = coef[0]
-    return out
+    ranked = global_rank(df, F.col("epoch"), F.floor(F.col("x") / (1 << 16)), [F.col("x")])
+    epochs = ranked.groupBy("epoch").agg(
+        F.min("rank").alias("head"), F.count(F.lit(1)).alias("n"), F.min("x").alias("first"), F.max("x").alias("last"), F.avg("y").alias("mean")
+    )
+    epochs = epochs.withColumns({
+        "k": F.least(F.col("n"), F.greatest(F.lit(4), F.floor(F.lit(span) * F.col("n")))),
+        "width": (F.col("last") - F.col("first")) / points,
+    })
+    placed = ranked.select("epoch", "rank", "x")
+    leaving = placed.join(epochs, "epoch").select("epoch", "first", "width", (F.col("rank") + F.col("k")).alias("rank"), "x")
+    middle = leaving.join(placed.withColumnRenamed("x", "x2"), ["epoch", "rank"]).withColumn("m", (F.col("x") + F.col("x2")) / 2)
+    # The first point after a midpoint; the formula is off by one at most where it rounds.
+    guess = F.floor((F.col("m") - F.col("first")) / F.col("width")).cast("int")
+    point = lambda i: F.col("first") + i * F.col("width")
+    after = F.when(point(guess) > F.col("m"), guess).when(point(guess + 1) > F.col("m"), guess + 1).otherwise(guess + 2)
+    passed = middle.filter("width > 0").groupBy("epoch", after.alias("i")).agg(F.count(F.lit(1)).alias("moves"))
+    grid = epochs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points))))
+    grid = grid.withColumn("p", F.when(F.col("i") == points, F.col("last")).otherwise(F.col("first") + F.col("i") * F.col("width")))
+    moves = F.coalesce(F.sum("moves").over(Window.partitionBy("epoch").orderBy("i")), F.lit(0))
+    starts = grid.join(passed, ["epoch", "i"], "left").withColumn("rank", F.col("head") + moves)
+    ends = starts.select("epoch", "i", F.explode(F.array("rank", F.col("rank") + F.col("k") - 1)).alias("rank"))
+    reach = ends.join(placed, ["epoch", "rank"]).groupBy("epoch", "i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    return starts.join(reach, ["epoch", "i"]).select(
+        "epoch", "first", "width", "n", "mean", "i", "p", F.greatest(F.col("p") - F.col("low"), F.col("high") - F.col("p")).alias("reach")
+    )
+
+
+def _local_fit(n: Column, mean: Column) -> Column:
+    """Value at its point of the weighted quadratic with moments s0..s4, t0..t2; the weighted mean where it is not determined."""
+    s0, s1, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
+    det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+    top = t0 * (s2 * s4 - s3 * s3) - t1 * (s1 * s4 - s2 * s3) + t2 * (s1 * s3 - s2 * s2)
+    fit = F.when(det > 1e-9 * s0 * s0 * s0, top / det).otherwise(F.try_divide(t0, s0))
+    return F.when(n < 4, mean).otherwise(F.coalesce(fit, mean))
 
 
 def loss_smooth(
-    df: DataFrame,
-    epoch: str = "epoch",
-    step: str = "step",
-    loss: str = "loss",
-    span: float = 0.2,
-    resolution: int = 2000,
+    df: DataFrame, epoch: str = "epoch", step: str = "step", loss: str = "loss", span: float = 0.2, points: int = 100
 ) -> DataFrame:
-    """Per-epoch smoothed curve.
+    """(epoch, step, loss, smooth): local quadratic regression of each epoch's curve, one row per step.
 
-    Steps are first averaged on a grid of ``resolution`` cells per epoch in a distributed
-    aggregation; each epoch's curve is then fitted on at most that many points, so an epoch of
-    any length stays within one small task. With fewer steps than cells nothing is averaged.
+    At ``points + 1`` evenly spaced steps of an epoch a quadratic is fitted to the nearest ``span``
+    share of all its steps with tricube weights; between the points the curve is linear. The fits need
+    eight sums per point, added up over all rows with map-side combining, so an epoch of any length
+    is spread over all tasks. Steps are numbers, repeated ones count repeatedly; null losses don't count.
     """
-    last = df.groupBy(epoch).agg(F.min(step).alias("first"), F.max(step).alias("last"))
-    width = F.greatest((F.col("last") - F.col("first") + 1) / F.lit(float(resolution)), F.lit(1.0))
-    cell = F.floor((F.col(step) - F.col("first")) / width)
-    grid = (
-        df.join(last, epoch)
-        .groupBy(F.col(epoch).alias("epoch"), cell.alias("cell"))
-        .agg(
-            F.avg(F.col(step).cast("double")).alias("step"),
-            F.avg(F.col(loss).cast("double")).alias("loss"),
-            F.count(F.lit(1)).alias("n_steps"),
-        )
-    )
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        pdf["smooth"] = loess(pdf["step"].to_numpy(), pdf["loss"].to_numpy(), span)
-        return pdf[["epoch", "step", "n_steps", "loss", "smooth"]]
-
-    kind = df.schema[epoch].dataType.simpleString()
-    return grid.groupBy("epoch").applyInPandas(
-        fit, f"epoch {kind}, step double, n_steps bigint, loss double, smooth double"
-    )
+    rows = df.select(F.col(epoch).alias("epoch"), F.col(step).cast("double").alias("x"), F.col(loss).cast("double").alias("y"))
+    rows = written_table(rows.filter("epoch IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL"), "curve-rows")
+    grid = written_table(_curve_points(rows, span, points), "curve-points")
+    lists = grid.groupBy("epoch").agg(F.collect_list(F.struct("i", "p", "reach")).alias("at"))
+    near = F.filter("at", lambda a: F.abs(F.col("x") - a["p"]) < a["reach"])
+    met = rows.join(lists, "epoch").select("epoch", "x", "y", F.explode(near).alias("a"))
+    u = (F.col("x") - F.col("a.p")) / F.col("a.reach")
+    weight = F.pow(1 - F.pow(F.abs(u), 3), 3)
+    met = met.select("epoch", "a.i", u.alias("u"), weight.alias("w"), "y")
+    sums = [F.sum(F.col("w") * F.pow("u", F.lit(j))).alias(f"s{j}") for j in range(5)]
+    sums += [F.sum(F.col("w") * F.pow("u", F.lit(j)) * F.col("y")).alias(f"t{j}") for j in range(3)]
+    fitted = grid.join(met.groupBy("epoch", "i").agg(*sums), ["epoch", "i"], "left")
+    fitted = fitted.select("epoch", "first", "width", "i", _local_fit(F.col("n"), F.col("mean")).alias("v"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"])
+    curves = fitted.groupBy("epoch").agg(F.first("first").alias("first"), F.first("width").alias("width"), ordered.alias("v"))
+    place = F.when(F.col("width") > 0, (F.col("x") - F.col("first")) / F.col("width")).otherwise(F.lit(0.0))
+    left = F.least(F.floor("place"), F.lit(points - 1)).cast("int")
+    value = lambda i: F.get("v", i)
+    joined = rows.join(curves, "epoch").withColumn("place", place).withColumn("left", left)
+    smooth = value(F.col("left")) + (F.col("place") - F.col("left")) * (value(F.col("left") + 1) - value(F.col("left")))
+    return joined.select("epoch", F.col("x").alias("step"), F.col("y").alias("loss"), smooth.alias("smooth"))

@@ -188,9 +188,28 @@ def loss_tail_mean(t: Tables):
     return R.loss_tail_mean(loss_log(t), ["epoch", "step"]).select(F.round("tail_mean", 6).alias("tail_mean"))
 
 
-@query("loss_smooth")
+def _moment(j: int, y: str = "") -> str:
+    return f"sum(w * u ** {j} {y})"
+
+
+@query("loss_smooth", f"""
+WITH l AS (SELECT epoch, step::DOUBLE AS x, loss AS y FROM {LOSS_SQL}),
+e AS (SELECT epoch, count(*) AS n, min(x) AS lo, max(x) AS hi, avg(y) AS mean, list(x) AS xs, least(count(*), greatest(4, floor(0.2 * count(*))::BIGINT)) AS k
+  FROM l GROUP BY epoch),
+g AS (SELECT *, CASE WHEN i = 100 THEN hi ELSE lo + i * ((hi - lo) / 100) END AS p FROM (SELECT *, unnest(range(0, 101)) AS i FROM e)),
+h AS (SELECT epoch, n, mean, lo, hi, i, p, list_sort(list_transform(xs, lambda x: abs(x - g.p)))[k] AS reach FROM g),
+m AS (SELECT epoch, i, (x - p) / reach AS u, (1 - abs((x - p) / reach) ** 3) ** 3 AS w, y FROM l JOIN h USING (epoch) WHERE abs(x - p) < reach),
+s AS (SELECT epoch, i, {", ".join(f"{_moment(j)} AS s{j}" for j in range(5))}, {", ".join(f"{_moment(j, '* y')} AS t{j}" for j in range(3))} FROM m GROUP BY ALL),
+d AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det,
+  t0 * (s2 * s4 - s3 * s3) - t1 * (s1 * s4 - s2 * s3) + t2 * (s1 * s3 - s2 * s2) AS top FROM h LEFT JOIN s USING (epoch, i)),
+v AS (SELECT epoch, lo, (hi - lo) / 100 AS width, list(CASE WHEN n < 4 THEN mean ELSE coalesce(CASE WHEN det > 1e-9 * s0 ** 3 THEN top / det ELSE t0 / s0 END, mean) END ORDER BY i) AS v
+  FROM d GROUP BY ALL),
+o AS (SELECT *, CASE WHEN width > 0 THEN (x - lo) / width ELSE 0 END AS place FROM l JOIN v USING (epoch)),
+q AS (SELECT *, least(floor(place)::BIGINT, 99) AS a FROM o)
+SELECT epoch, x::INT AS step, y AS loss, round(v[a + 1] + (place - a) * (v[a + 2] - v[a + 1]), 6) AS smooth FROM q""")
 def loss_smooth(t: Tables):
-    return R.loss_smooth(loss_log(t)).withColumn("smooth", F.round("smooth", 6))
+    curve = R.loss_smooth(loss_log(t))
+    return curve.withColumns({"step": F.col("step").cast("int"), "smooth": F.round("smooth", 6)})
 
 
 @query("masked_mean", """

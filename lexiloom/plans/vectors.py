@@ -271,7 +271,24 @@ def signed(t: Tables):
     return t.embeddings.withColumn("sign", F.when(F.col("label") < 5, 1).otherwise(-1))
 
 
-@query("pca_direction")
+#: The covariance is squared until only its first axis is left of it: 14 squarings are 16384 power steps.
+SQUARINGS = 14
+PCA_SQL = UNIT_SQL + """,
+c0 AS (SELECT generate_subscripts(v, 1) AS d, vec_id, label, unnest(v) AS x FROM e),
+cm AS (SELECT d, avg(x) AS m FROM c0 GROUP BY d),
+cx AS MATERIALIZED (SELECT vec_id, label, d, x - m AS x FROM c0 JOIN cm USING (d)),
+a0 AS MATERIALIZED (SELECT a.d AS i, b.d AS j, sum(a.x * b.x) AS v FROM cx a JOIN cx b USING (vec_id) GROUP BY 1, 2)""" + "".join(f""",
+q{k} AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM a{k - 1} a JOIN a{k - 1} b ON a.j = b.i GROUP BY 1, 2),
+a{k} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM q{k} WHERE i = j) AS v FROM q{k})""" for k in range(1, SQUARINGS + 1)) + f""",
+col AS (SELECT i AS d, v FROM a{SQUARINGS} WHERE j = (SELECT i FROM a{SQUARINGS} WHERE i = j ORDER BY v DESC LIMIT 1)),
+ax AS (SELECT d, v / sqrt((SELECT sum(v * v) FROM col)) AS v FROM col),
+pr AS (SELECT vec_id, label, sum(x * v) AS score FROM cx JOIN ax USING (d) GROUP BY vec_id, label),
+sg AS (SELECT CASE WHEN avg(score) FILTER (label < 5) < 0 THEN -1 ELSE 1 END AS s FROM pr)"""
+
+
+@query("pca_direction", f"""
+WITH {PCA_SQL}, r AS (SELECT vec_id, s * score AS score FROM pr, sg)
+SELECT vec_id, round(score, 6) AS score, CASE WHEN score < -2 THEN 'high' WHEN score < 0 THEN 'low' ELSE 'normal' END AS risk FROM r""")
 def pca_direction(t: Tables):
     direction, centre = VE.pca_direction(signed(t), "sign", VEC)
     scored = VE.direction_score(t.embeddings, direction, VEC, centre=centre)

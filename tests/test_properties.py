@@ -13,6 +13,7 @@ from lexiloom.operators import dedup as D
 from lexiloom.operators import enrich as EN
 from lexiloom.operators import graph as GR
 from lexiloom.operators import ordering as O
+from lexiloom.operators import profile as R
 from lexiloom.operators import tokens as K
 from lexiloom.operators import vectors as VE
 from lexiloom.session import scratch_path
@@ -258,3 +259,40 @@ def test_codebook_of_several_blocks(spark, n_codes, limit):
     assert all(got[i]["code"] == sims[i].argmax() for i in range(1, 40))
     best = {r["id"]: r["max_sim"] for r in VE.max_anchor_sim(df, book, "v", "code", limit).collect()}
     assert np.allclose([best[i] for i in range(40)], sims.max(axis=1))
+
+
+def test_loss_smooth_against_direct_fits(spark):
+    """Uneven and repeated steps, short epochs and an epoch of one step only, in a long curve of 30,000 steps."""
+    rng = np.random.default_rng(5)
+    curves = {
+        1: np.cumsum(rng.integers(1, 9, 30_000)), 2: np.sort(rng.integers(0, 40, 300)), 3: np.array([7, 9, 12]),
+        4: np.full(20, 5), 5: np.concatenate([np.arange(50), 10_000 + np.arange(50)]), 6: np.arange(5) * 3,
+    }
+    losses = {e: rng.normal(size=len(x)) + np.sin(x / 50) for e, x in curves.items()}
+    rows = [(e, int(x), float(y)) for e, xs in curves.items() for x, y in zip(xs, losses[e])]
+    df = spark.createDataFrame([*rows, (1, 3, None), (None, 1, 1.0)], "epoch int, step int, loss double")
+    got: dict = {}
+    for r in R.loss_smooth(df, points=20).collect():
+        got.setdefault(r.epoch, []).append((r.step, r.loss, r.smooth))
+    assert set(got) == set(curves)
+    for e, x in curves.items():
+        x, y = x.astype(float), losses[e]
+        n = len(x)
+        k = min(n, max(4, int(0.2 * n)))
+        at, fits = np.linspace(x[0], x[-1], 21), []
+        for p in at:
+            far = np.abs(x - p)
+            reach = np.sort(far)[k - 1]
+            keep = far < reach
+            if n < 4 or not keep.any():
+                fits.append(y.mean())
+                continue
+            u = (x[keep] - p) / reach
+            w = (1 - np.abs(u) ** 3) ** 3
+            s = [(w * u**j).sum() for j in range(5)]
+            normal = np.array([s[0:3], s[1:4], s[2:5]])
+            t = np.array([(w * u**j * y[keep]).sum() for j in range(3)])
+            fits.append(np.linalg.solve(normal, t)[0] if np.linalg.det(normal) > 1e-9 * s[0] ** 3 else t[0] / s[0])
+        want = np.interp(x, at, fits) if x[0] < x[-1] else np.full(n, fits[0])
+        assert len(got[e]) == n
+        np.testing.assert_allclose(sorted(got[e]), sorted(zip(x, y, want)), rtol=1e-6, atol=1e-6)
