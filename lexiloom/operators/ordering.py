@@ -62,19 +62,37 @@ def global_rank(
 def running_offsets(
     df: DataFrame, key: str, size: str, name: str = "offset", width: int = 1 << 16
 ) -> DataFrame:
-    """Exclusive running sum of ``size`` in order of the integer ``key``."""
-    keyed = df.withColumns(
-        {"_coarse": F.floor(F.col(key) / (width * 64)), "_fine": F.floor(F.col(key) / width)}
-    )
+    """(key, size, offset): exclusive running sum of ``size`` in order of the unique integer ``key``.
+
+    Only these two columns are read. They are cut into ranges of about ``width`` rows at quantiles of
+    the key, so sparse or lumpy keys fill the ranges as evenly as dense ones do; from 4096 ranges
+    on they grow instead. The table is read once before for its quantiles.
+    """
+    slim = df.select(key, size)
+    bounds = _range_bounds(slim, key, width)
+    # Two short looks, one over the coarse bounds and one inside, find the range of a key.
+    kind = slim.schema[key].dataType
+    at_most = lambda bounds_: F.size(F.filter(bounds_, lambda b: b <= F.col(key)))
+    firsts = F.array(*[F.lit(group[0]).cast(kind) for group in bounds]) if bounds else F.array().cast(f"array<{kind.simpleString()}>")
+    groups = F.array(*[F.array(*[F.lit(b).cast(kind) for b in group]) for group in bounds]) if bounds else None
+    keyed = slim.withColumn("_coarse", at_most(firsts))
+    fine = at_most(F.get(groups, F.col("_coarse") - 1)) if bounds else F.lit(0)
+    keyed = keyed.withColumn("_fine", F.when(F.col("_coarse") > 0, fine).otherwise(F.lit(0)))
     totals = keyed.groupBy("_coarse", "_fine").agg(F.sum(size).alias("n"))
     offsets = bucket_offsets(totals, "_coarse", "_fine")
     inside = F.coalesce(F.sum(size).over(_before([F.col(key)], [F.col("_coarse"), F.col("_fine")])), F.lit(0))
-    return (
-        keyed.withColumn("_inside", inside)
-        .join(offsets, ["_coarse", "_fine"])
-        .withColumn(name, (F.col("bucket_offset") + F.col("_inside")).cast("bigint"))
-        .drop("_coarse", "_fine", "_inside", "bucket_offset")
-    )
+    placed = keyed.withColumn("_inside", inside).join(offsets, ["_coarse", "_fine"])
+    return placed.select(key, size, (F.col("bucket_offset") + F.col("_inside")).cast("bigint").alias(name))
+
+
+def _range_bounds(df: DataFrame, key: str, width: int, most: int = 4096) -> list[list[int]]:
+    """Distinct quantiles of ``key`` that cut ``df`` into ranges of about ``width`` rows, in groups of 64."""
+    ranges = min(ceil(df.count() / width), most)
+    if ranges < 2:
+        return []
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(df.agg(F.percentile_approx(key, shares, 10 * most)).first()[0] or []))
+    return [bounds[i : i + 64] for i in range(0, len(bounds), 64)]
 
 
 def order_statistics(

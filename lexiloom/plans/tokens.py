@@ -42,11 +42,11 @@ def doc_words(t: Tables):
 def encoded(t: Tables):
     words = doc_words(t)
     encode = K.vocab_encoder(K.word_vocab(words))
-    return words.select("doc_id", "text", encode("w").alias("ids"))
+    return words.select("doc_id", "text", encode("w").alias("ids"), F.size("w").alias("n_ids"))
 
 
 def packed(t: Tables):
-    return K.pack_blocks(encoded(t), "doc_id")
+    return K.pack_blocks(encoded(t), "doc_id", n_ids="n_ids")
 
 
 def counts(t: Tables):

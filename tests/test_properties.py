@@ -101,6 +101,25 @@ def test_packing(spark, width):
     assert {(r.x, r.y): r.nxy for r in counts.collect()} == Counter(zip(stream, stream[1:]))
 
 
+@pytest.mark.parametrize("ids", ["sparse", "lumpy", "negative"])
+def test_packing_with_sparse_keys(spark, ids):
+    """Random 63-bit keys, or a dense lump with far outliers, fill the ranges alike."""
+    rng = random.Random(3)
+    keys = {
+        "sparse": [rng.getrandbits(63) for _ in range(300)], "lumpy": [*range(295), 2**40, 2**50, 2**60, 2**62, -(2**62)],
+        "negative": [-k for k in [rng.getrandbits(63) for _ in range(300)]],
+    }[ids]
+    docs = sorted((k, [rng.randrange(5, 99) for _ in range(rng.randrange(0, 9))]) for k in keys)
+    df = spark.createDataFrame(rng.sample(docs, len(docs)), "id bigint, ids array<int>")
+    stream = [t for _, d in docs for t in [3, *d, 4, 4]]
+    stream += [1] * (-len(stream) % 16)
+    blocks = {r.block_id: r.ids for r in K.pack_blocks(df, "id", block_len=16, width=2).collect()}
+    assert [t for b in sorted(blocks) for t in blocks[b]] == stream
+    sized = df.select("id", F.size("ids").alias("n"))
+    groups = O._range_bounds(sized, "id", 10)
+    assert len(groups) == 1 and len(groups[0]) >= 25
+
+
 def test_packing_example(spark):
     df = spark.createDataFrame([(1, [7, 8, 9]), (2, [10, 11])], "id bigint, ids array<int>")
     row = K.pack_blocks(df, "id").first()
