@@ -15,18 +15,29 @@ from ..functions import arrays as AR
 from ..functions import fixed_values as V
 from ..functions import text as T
 from ..functions.hashing import md5_int
+from ..session import written_table
+from .ordering import only_wanted
 from .vectors import route_top_k
 
 
 # ---- scoring -------------------------------------------------------------------------------------
 
-def ngram_counts(docs: DataFrame, words: str = "w") -> tuple[DataFrame, DataFrame]:
-    """(x, y, nxy) and (x, nx) tables of adjacent words inside each text."""
+def ngram_counts(docs: DataFrame, words: str = "w", steps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(x, y, nxy) and (x, nx) tables of adjacent words inside each text.
+
+    With ``steps`` (x, y) only the pairs and words that it asks for are counted: the others go before
+    the aggregation, so no pair table of the whole corpus is built.
+    """
     n = F.size(words)
     nexts = F.slice(words, F.lit(2), n)
     zipped = F.arrays_zip(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))).alias("x"), nexts.alias("y"))
-    pairs = docs.filter(n > 1).select(F.inline(zipped)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("nxy"))
-    return pairs, docs.select(F.explode(words).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("nx"))
+    pairs = docs.filter(n > 1).select(F.inline(zipped))
+    singles = docs.select(F.explode(words).alias("x"))
+    if steps is not None:
+        asked = written_table(steps.select("x", "y").distinct(), "asked-pairs")
+        both = asked.select(F.explode(F.array("x", "y")).alias("x")).distinct()
+        pairs, singles = only_wanted(pairs, asked), only_wanted(singles, written_table(both, "asked-words"))
+    return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("nxy")), singles.groupBy("x").agg(F.count(F.lit(1)).alias("nx"))
 
 
 def word_steps(df: DataFrame, keys: Sequence[str], context: str, target: str) -> DataFrame:

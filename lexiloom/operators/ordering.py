@@ -238,6 +238,15 @@ def not_in(df: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     return df.join(done.select(*keys), list(keys), "left_anti")
 
 
+def only_wanted(df: DataFrame, wanted: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """Rows of ``df`` whose key is in ``wanted``, a written table whose columns are the key.
+
+    The keys are broadcast if a count proves them few, else the join is a shuffled one.
+    """
+    few = wanted.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(wanted) if few else wanted, wanted.columns, "left_semi")
+
+
 def distinct_endpoints(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return edges.select(F.explode(F.array(src, dst)).alias("node")).distinct()
 

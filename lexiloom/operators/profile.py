@@ -68,16 +68,17 @@ def token_loss_profile(
     ``weight`` counts how often a row occurred, so pre-aggregated losses need no expansion.
     """
     w = F.col(weight) if weight else F.lit(1)
-    sums = df.groupBy("token").agg(
-        F.sum(w).alias("freq"),
-        F.sum(F.col("loss") * w).alias("s1"),
-        F.sum(F.col("loss") * F.col("loss") * w).alias("s2"),
+    # Sums of distances from one loss of the token lose no digits where the mean is large against the spread.
+    one = df.groupBy("token").agg(F.sum(w).alias("freq"), F.min("loss").alias("low")).filter(F.col("freq") > max(min_freq, 1))
+    away = F.col("loss") - F.col("low")
+    sums = df.join(one.select("token", "low"), "token").groupBy("token").agg(
+        F.sum(w).alias("freq"), F.first("low").alias("low"), F.sum(away * w).alias("s1"), F.sum(away * away * w).alias("s2")
     )
     n = F.col("freq").cast("double")
     mean = F.col("s1") / n
     variance = F.greatest((F.col("s2") - F.col("s1") * mean) / (n - 1), F.lit(0.0))
-    frequent = sums.filter(F.col("freq") > max(min_freq, 1)).select(
-        "token", "freq", F.round(mean, digits).alias("mean_loss"), F.round(F.sqrt(variance), digits).alias("sd_loss")
+    frequent = sums.select(
+        "token", "freq", F.round(F.col("low") + mean, digits).alias("mean_loss"), F.round(F.sqrt(variance), digits).alias("sd_loss")
     )
     return frequent.orderBy(F.desc("mean_loss"), "token").limit(top)
 

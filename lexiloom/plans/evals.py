@@ -65,16 +65,16 @@ def choice_items(t: Tables):
     return wanted.join(halves.select(F.col("item_id").alias("other"), "c"), "other").drop("other")
 
 
-def counts(t: Tables):
-    pair, single = E.ngram_counts(doc_words(t))
+def counts(t: Tables, steps):
+    pair, single = E.ngram_counts(doc_words(t), steps=steps)
     return written_table(pair, "word-pairs"), written_table(single, "word-counts")
 
 
 def scored_choices(t: Tables):
     keys = ["item_id", "choice_idx"]
     items = written_table(choice_items(t), "choices")
-    pair, single = counts(t)
     steps = E.word_steps(items, keys, "q", "c")
+    pair, single = counts(t, steps)
     bigram = E.choice_scores(items.select(*keys), E.smoothed_logprob(steps, pair, single), keys)
     alone = steps.drop("x").withColumnRenamed("y", "x").join(single, "x", "left")
     unigram = alone.withColumn("logprob", F.log((F.coalesce("nx", F.lit(0)) + 1) / F.lit(1e6)))
@@ -154,9 +154,10 @@ def best_of_n(t: Tables):
     candidates = pairs(t).select(
         "conv_id", "turn", T.words(F.col("instruction")).alias("q"), T.words(F.col("output")).alias("c")
     )
-    pair, single = counts(t)
     keys = ["conv_id", "turn"]
-    logp = E.smoothed_logprob(E.word_steps(candidates, keys, "q", "c"), pair, single)
+    steps = E.word_steps(candidates, keys, "q", "c")
+    pair, single = counts(t, steps)
+    logp = E.smoothed_logprob(steps, pair, single)
     scored = E.choice_scores(candidates.select(*keys), logp, keys)
     return E.best_of_n(scored, ["conv_id"], "turn", floor=-9.0).withColumn("score", F.round("score", 6))
 
@@ -228,6 +229,28 @@ def watermark_z(t: Tables):
     return out.select("doc_id", "n_gen", "hits", F.round("z", 6).alias("z"), "is_marked")
 
 
+@query("watermark_pairs", rf"""
+WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE text <> ''),
+g AS (SELECT doc_id, len(w) - 10 AS n, unnest(w[11:]) AS y, unnest(w[10:len(w) - 1]) AS c, unnest(w[9:len(w) - 2]) AS b FROM w WHERE len(w) > 10)
+SELECT doc_id, n::INT AS n_gen,
+ sum((('0x' || substr(md5('421337:' || b || ',' || c || ':' || y), 1, 8))::BIGINT % 1000 < 500)::INT)::INT AS hits FROM g GROUP BY doc_id, n""")
+def watermark_pairs(t: Tables):
+    """The watermark whose green list hangs on the two tokens before."""
+    words = written_table(doc_words(t).select("doc_id", "w"), "words")
+    return E.watermark_test(words, "w", F.lit(10), k=2).select("doc_id", "n_gen", "hits")
+
+
+@query("accuracy_named", f"""
+WITH {ITEM_SQL}, a AS (SELECT model, CASE category WHEN 'cat1' THEN '{V.CATEGORY_NAMES["math"]}' WHEN 'cat2' THEN '{V.CATEGORY_NAMES["memory"]}' ELSE category END AS category,
+ is_correct FROM rs)
+SELECT model, category, round(count(*) FILTER (is_correct) / count(*) * 100.0::DOUBLE, 6) AS acc FROM a GROUP BY model, category
+UNION ALL SELECT model, '{V.OVERALL_NAME}', round(count(*) FILTER (is_correct) / count(*) * 100.0::DOUBLE, 6) FROM a GROUP BY model""")
+def accuracy_named(t: Tables):
+    """Accuracy under display names; a category without one keeps its own."""
+    known = results(t).withColumn("category", F.replace(F.replace("category", F.lit("cat1"), F.lit("math")), F.lit("cat2"), F.lit("memory")))
+    return E.accuracy_extremes(known, names=V.CATEGORY_NAMES).select("model", "category", F.round("acc", 6).alias("acc"))
+
+
 # ---- routing ---------------------------------------------------------------------------------------
 
 ROUTE_SQL = UNIT_SQL + """,

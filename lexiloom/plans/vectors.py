@@ -324,6 +324,16 @@ def contrastive_score(t: Tables):
     return VE.contrastive_score(t.embeddings, "vec_id", "label", VEC).select("batch", "id", F.round("loss", 6).alias("loss"))
 
 
+@query("contrastive_unmasked", f"""
+WITH {UNIT_SQL}, b AS (SELECT vec_id, vec_id // 64 AS batch, u, list_append(u[2:], u[1]) AS t FROM u),
+s AS (SELECT a.batch, a.vec_id AS id, a.vec_id = b.vec_id AS own, list_dot_product(a.u, b.t) / 0.07 AS sim FROM b a JOIN b ON a.batch = b.batch)
+SELECT batch, id, round(max(sim) + ln(sum(exp(sim - mx))) - max(sim) FILTER (own), 6) AS loss
+FROM (SELECT *, max(sim) OVER (PARTITION BY id) AS mx FROM s) GROUP BY batch, id""")
+def contrastive_unmasked(t: Tables):
+    scored = VE.contrastive_score(t.embeddings, "vec_id", "label", VEC, mask_same_label=False)
+    return scored.select("batch", "id", F.round("loss", 6).alias("loss"))
+
+
 @query("embedding_collapse", f"""
 WITH {UNIT_SQL}, x AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM e),
 c AS (SELECT a.d AS i, b.d AS j, covar_samp(a.x, b.x) AS cv, var_pop(a.x) AS vp FROM x a JOIN x b USING (vec_id) GROUP BY a.d, b.d)
