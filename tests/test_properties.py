@@ -315,3 +315,31 @@ def test_loss_smooth_against_direct_fits(spark):
         want = np.interp(x, at, fits) if x[0] < x[-1] else np.full(n, fits[0])
         assert len(got[e]) == n
         np.testing.assert_allclose(sorted(got[e]), sorted(zip(x, y, want)), rtol=1e-6, atol=1e-6)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcd"])
+def test_bpe_merges_one_at_a_time(spark, letters):
+    """Few letters make the same symbol from different parts and many ties."""
+    rng = random.Random(len(letters))
+    words = Counter("".join(rng.choice(letters) for _ in range(rng.randrange(2, 12))) for _ in range(60))
+    text = " ".join(w for w, n in words.items() for _ in range(n))
+    df = spark.createDataFrame([(text,)], "text string")
+    assert B.train_bpe(B.word_table(df), n_merges=25) == greedy_bpe(words, 25)
+
+
+def test_bpe_batch_ends_where_a_symbol_is_spelt_anew():
+    ranked = [("a", "bc", 9), ("x", "y", 8), ("abc", "d", 7)]
+    assert B.independent_prefix(ranked, True, 10) == [("a", "bc"), ("x", "y"), ("abc", "d")]
+    assert B.independent_prefix(ranked, True, 10, {"bc", "abc"}) == [("a", "bc")]
+
+
+def test_spreads_keep_digits_with_large_means(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 4)) + 1e8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    got = VE.embedding_collapse(df, "v").first()
+    cov = np.cov(x.T)
+    assert got["var_loss"] == pytest.approx(np.maximum(1 - np.sqrt(x.var(axis=0) + 1e-4), 0).mean(), rel=1e-4)
+    assert got["cov_loss"] == pytest.approx(((cov**2).sum() - (np.diag(cov) ** 2).sum()) / 4, rel=1e-4)
+    losses = spark.createDataFrame([(1, float(v)) for v in x[:, 0]], "token int, loss double")
+    assert R.token_loss_profile(losses, digits=9).first()["sd_loss"] == pytest.approx(x[:, 0].std(ddof=1), rel=1e-6)
