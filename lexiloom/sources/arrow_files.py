@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import checkpoint_root
+
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; plain paths and ``file:`` are local or mounted."""
@@ -23,11 +25,29 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def shared_path(spark: SparkSession, path: str) -> str:
+    """``path`` as driver and tasks both see it.
+
+    A path without a scheme lies in Spark's default file system. On a cluster a local one is an
+    error, since each executor would keep its own files, unless it lies in the shared checkpoint folder.
+    """
+    if "://" not in path and not path.startswith("file:"):
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        path = path if default.startswith("file:") else f"{default.rstrip('/')}/{path.lstrip('/')}"
+    plain = lambda p: "/" + p.removeprefix("file:").lstrip("/")
+    if path.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local"):
+        root = plain(checkpoint_root(spark)).rstrip("/")
+        if not plain(path).startswith(f"{root}/"):
+            raise ValueError(f"{path} is local to each machine; name a file system that all executors share")
+    return path
+
+
 def write_feather(df: DataFrame, path: str) -> DataFrame:
     """One feather file per partition; returns the list of (file, n_rows).
 
     The name depends only on the partition number, so a retried task replaces its own file.
     """
+    path = shared_path(df.sparkSession, path)
 
     def sink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(path)
@@ -58,6 +78,7 @@ def list_files(spark: SparkSession, path: str, suffix: str) -> list[pafs.FileInf
 
 def read_feather(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Feather files as a DataFrame; each task streams its files batch by batch."""
+    path = shared_path(spark, path)
     names = [f.path for f in list_files(spark, path, ".feather")]
     files = spark.createDataFrame([(n,) for n in names], "file STRING").repartition(max(1, len(names)), "file")
 
@@ -86,6 +107,7 @@ def write_token_bin(blocks: DataFrame, path: str, block_len: int, parts: int) ->
     Parts are ranges of block ids and carry the position of their first token in the name, so
     every part can be read alone; a rerun replaces the parts instead of appending to them.
     """
+    path = shared_path(blocks.sparkSession, path)
     ordered = (
         blocks.select("block_id", "ids")
         .repartitionByRange(parts, "block_id")
@@ -166,5 +188,6 @@ class TokenBinSource(DataSource):
 
 
 def read_token_bin(spark: SparkSession, path: str, tokens_per_split: int = 1 << 24) -> DataFrame:
+    path = shared_path(spark, path)
     spark.dataSource.register(TokenBinSource)
     return spark.read.format("token_bin").option("tokensPerSplit", tokens_per_split).load(path)

@@ -9,6 +9,7 @@ from lexiloom.functions import fixed_values as V
 from lexiloom.functions import text as T
 from lexiloom.operators import gates as G
 from lexiloom.session import scratch_path
+from lexiloom.sources import arrow_files as A
 from lexiloom.sources import jsonl as J
 from lexiloom.sources import manifest as M
 from lexiloom.streaming import frames as FR
@@ -109,6 +110,29 @@ def test_resume_after_gap_and_other_settings(spark):
     assert sorted(r.chunk for r in M.read_chunks(spark, path).collect()) == [0, 1, 3]
 
 
+class _Cluster:
+    """What ``shared_path`` asks of a session, with a master and a default file system of choice."""
+
+    def __init__(self, default):
+        self.sparkContext = self._jsc = self
+        self.master, self.default = "spark://host:7077", default
+
+    def hadoopConfiguration(self):
+        return {"fs.defaultFS": self.default}
+
+    def getCheckpointDir(self):
+        return "file:/shared/checkpoints"
+
+
+def test_shared_path():
+    assert A.shared_path(_Cluster("hdfs://name:8020"), "/data/x") == "hdfs://name:8020/data/x"
+    assert A.shared_path(_Cluster("hdfs://name:8020"), "s3://bucket/x") == "s3://bucket/x"
+    assert A.shared_path(_Cluster("file:///"), "/shared/checkpoints/x") == "/shared/checkpoints/x"
+    for path in ("/data/x", "file:/data/x", "/shared/checkpoints-of-others/x"):
+        with pytest.raises(ValueError):
+            A.shared_path(_Cluster("file:///"), path)
+
+
 def test_relations_fall_back(spark):
     path = scratch_path(spark, "flat-relations")
     spark.createDataFrame([("a", "b")], "src string, dst string").write.parquet(path)
