@@ -15,15 +15,19 @@ HREF = 'href="([^"]*)"'
 
 def extract_links(
     pages: DataFrame, page: str, html: str, prefix: str = V.WIKI_PREFIX,
-    namespaces: str = V.LINK_NAMESPACES, topic_rules: dict | None = None,
+    namespaces: str = V.LINK_NAMESPACES, topic_rules: dict | None = None, unique_pages: bool = True,
 ) -> DataFrame:
-    """Distinct (src, dst) links of each page that start with ``prefix`` and pass the filters."""
+    """Distinct (src, dst) links of each page that start with ``prefix`` and pass the filters.
+
+    A page's links are filtered and made distinct inside its row, without a shuffle. Where a page
+    may have several rows, ``unique_pages=False`` compares the links of all of them.
+    """
     hrefs = F.array_distinct(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)))
-    links = pages.select(F.col(page).alias("src"), F.explode(hrefs).alias("href"))
-    wanted = links.filter(F.col("href").contains(prefix) & ~F.col("href").rlike(namespaces))
-    titled = wanted.select("src", T.link_title(F.col("href"), prefix).alias("dst"))
-    good = titled.filter(F.col("dst").isNotNull() & ~T.topic_blocked(F.col("dst"), **(topic_rules or {})))
-    return good.distinct()
+    wanted = F.filter(hrefs, lambda h: h.contains(prefix) & ~h.rlike(namespaces))
+    titles = F.array_distinct(F.transform(wanted, lambda h: T.link_title(h, prefix)))
+    good = F.filter(titles, lambda d: d.isNotNull() & ~T.topic_blocked(d, **(topic_rules or {})))
+    links = pages.select(F.col(page).alias("src"), F.explode(good).alias("dst"))
+    return links if unique_pages else links.distinct()
 
 
 def bfs_level(frontier: DataFrame, links: DataFrame, visited: DataFrame) -> DataFrame:
@@ -53,7 +57,7 @@ def bfs_expand(
         frontier = cut_lineage(found.withColumn("depth", F.lit(depth + 1)))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # each level is stored once; this is a scan per level
         depth += 1
     return seen if max_pages is None else seen.orderBy("depth", "src").limit(max_pages)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import fixed_values as V
 from lexiloom.functions import text as T
 from lexiloom.operators import gates as G
+from lexiloom.operators import graph as GR
 from lexiloom.session import scratch_path
 from lexiloom.sources import arrow_files as A
 from lexiloom.sources import jsonl as J
@@ -161,3 +162,12 @@ def test_lost_marker_times_out(spark):
     finally:
         query.stop()
     assert sorted(tuple(r) for r in got) == [("a", "xy", 2, False), ("b", "z", 1, True)]
+
+
+def test_links_of_a_page_in_several_rows(spark):
+    html = '<a href="/wiki/A%20b#x"></a><a href="/wiki/A%20b"></a><a href="/wiki/File:c"></a><a href="/wiki/D"></a>'
+    pages = spark.createDataFrame([(1, html), (1, html), (2, ""), (3, None)], "page int, html string")
+    once = GR.extract_links(pages.limit(1), "page", "html")
+    assert sorted(tuple(r) for r in once.collect()) == [(1, "A b"), (1, "D")]
+    both = GR.extract_links(pages, "page", "html", unique_pages=False)
+    assert sorted(tuple(r) for r in both.collect()) == [(1, "A b"), (1, "D")]
