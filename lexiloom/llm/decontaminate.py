@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming blocks.
 
-A text is cut into windows of an item's length wherever it holds one of the item's word shingles;
-no other window can reach the similarity asked for. Windows and items get 64-bit SimHash
-fingerprints of their weighted shingles. The fingerprint is split into ``radius + 1`` blocks, so two
+A text is cut into all windows of an item's length that hold enough of the item's word shingles, in
+any order; a window with less can't reach the similarity asked for. Windows and items get 64-bit
+SimHash fingerprints of their weighted shingles. The fingerprint is split into ``radius + 1`` blocks, so two
 fingerprints within the radius agree on a block at least: joining on (item, block, value) finds all
 of them. What remains is verified by the exact weighted Jaccard similarity of the shingles.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written_table
 from .base import query, small_or_shuffled, table, text_or_empty
 
 #: Everything but letters, marks and digits separates words.
@@ -48,9 +49,13 @@ def _fingerprint(shingles: str) -> Column:
     )
 
 
+def _edges(radius: int) -> list[int]:
+    return [64 * i // (radius + 1) for i in range(radius + 2)]
+
+
 def _block_values(fingerprint: str, radius: int) -> Column:
     """(block, value) of the ``radius + 1`` blocks that share the 64 bits evenly."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+    edges = _edges(radius)
     cuts = ", ".join(
         f"named_struct('block', {i}, 'value', shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L)"
         for i, (a, b) in enumerate(zip(edges, edges[1:]))
@@ -58,6 +63,17 @@ def _block_values(fingerprint: str, radius: int) -> Column:
     return F.expr(f"array({cuts})")
 
 
+def _first_block(one: str, other: str, radius: int) -> Column:
+    """The first block in which two fingerprints agree."""
+    edges = _edges(radius)
+    cuts = [f"WHEN ({one} ^ {other}) & {_signed(((1 << (b - a)) - 1) << a)}L = 0L THEN {i}" for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+    return F.expr(f"CASE {' '.join(cuts)} END")
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -73,40 +89,45 @@ def leaks(
 
     An item of fewer than five words is one shingle as a whole; an item without words, or a null
     one, leaks nowhere. Windows that would pass the end of a text are moved inside it; a text
-    shorter than the item is one window. Equal similarities go to the earliest window. Rows that
-    repeat an id give that id once; null ids are one id. Columns other than id and text are ignored.
+    shorter than the item is one window. Windows that line the item up with one of its shingles
+    come before others, which count where none of those is similar enough; among each the most similar
+    is the best, and equal similarities go to the earliest window. Rows that repeat an id give that id
+    once; null ids are one id. Columns other than id and text are ignored.
     """
     gram = f"least({SHINGLE}, size(i_words))"
     known = items.select(F.col(item_col).alias("item"), pieces_of(text_or_empty(item_text_col)).alias("p"))
     known = known.select("item", F.expr("filter(p, x -> x != '')").alias("i_words")).filter("size(i_words) > 0")
     known = known.withColumn("g", F.expr(gram)).withColumn("i_shingles", _weighted("i_words", "g"))
     anchors = known.select(
-        "item", "g", F.size("i_words").alias("len"), "i_words", F.posexplode(F.expr("sequence(1, size(i_words) - g + 1)")).alias("i_pos", "at")
-    ).select(
-        "item", "g", "len", "i_pos", F.expr("get(i_words, i_pos - 1)").alias("i_before"),
-        F.expr("array_join(slice(i_words, at, g), ' ')").alias("i_gram"),
-    )
+        "item", "g", F.size("i_words").alias("len"), F.expr("aggregate(i_shingles, 0L, (a, x) -> a + x.w)").alias("total"),
+        F.posexplode(F.expr("transform(i_shingles, x -> named_struct('s', x.s, 'w', x.w, 'places', filter(sequence(0, size(i_words) - g), "
+                            "i -> array_join(slice(i_words, i + 1, g), ' ') = x.s)))")).alias("k", "x"),
+    ).select("item", "g", "len", "total", "k", F.col("x.w").alias("w"), F.col("x.places").alias("places"), F.col("x.s").alias("i_gram"))
     sizes = [r.g for r in known.select("g").distinct().collect()]  # at most five numbers
-    rows = docs.select(F.col(id_col).alias("id"), pieces_of(text_or_empty(text_col)).alias("words"))
-    windows = [_windows(rows, anchors, g, small) for g in sorted(sizes)]
-    if not windows:
-        windows = [_windows(rows, anchors, SHINGLE, small)]
-    found = windows[0]
-    for more in windows[1:]:
-        found = found.unionByName(more)
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    texts = texts.select("id", F.xxhash64("text").alias("text_key"), "text")
+    rows = texts.select("id", "text_key", pieces_of(F.col("text")).alias("words"))
+    hits = [_hits(rows, anchors, g, small) for g in sorted(sizes)]
+    if not hits:
+        hits = [_hits(rows, anchors, SHINGLE, small)]
+    all_hits = hits[0]
+    for more in hits[1:]:
+        all_hits = all_hits.unionByName(more)
+    found = _windows(texts, written_table(_starts(all_hits, similarity), "leak-starts").filter("size(starts) > 0"), small)
     found = found.withColumn("w_shingles", _weighted("window", "g")).withColumn("w_print", _fingerprint("w_shingles"))
     marks = known.select("item", "i_shingles", _fingerprint("i_shingles").alias("i_print"))
     marks = marks.select("*", F.inline(_block_values("i_print", radius)))
     probes = found.select("*", F.inline(_block_values("w_print", radius)))
     met = probes.join(small_or_shuffled(marks, small), ["item", "block", "value"])
     met = met.withColumn("hamming", F.expr("bit_count(w_print ^ i_print)")).filter(F.col("hamming") <= radius)
+    met = met.filter(F.col("block") == _first_block("w_print", "i_print", radius))  # fingerprints that meet in several blocks are compared once
     total = "aggregate({0}, 0L, (a, x) -> a + x.w)"
     shared = "aggregate(filter(i_shingles, x -> array_contains(w_names, x.s)), 0L, (a, x) -> a + x.w)"
     scored = met.withColumn("w_names", F.expr("w_shingles.s")).withColumn("shared", F.expr(shared)).withColumn(
         "similarity",
         F.expr(f"shared / ({total.format('i_shingles')} + {total.format('w_shingles')} - shared)"),
     )
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", "len", "hamming"))
+    best = F.min(F.struct("shifted", (-F.col("similarity")).alias("s"), "start", "len", "hamming"))
     kept = scored.filter(F.col("similarity") >= similarity).groupBy("id", "item").agg(best.alias("b"))
     return kept.select(
         "id", "item", F.col("b.start").cast("long").alias("start_word"), F.col("b.len").cast("long").alias("n_words"),
@@ -114,25 +135,54 @@ def leaks(
     )
 
 
-def _windows(rows: DataFrame, anchors: DataFrame, g: int, small: int) -> DataFrame:
-    """Item-sized windows around the places where a text holds a ``g``-word shingle of the item.
-
-    Of a run of hits on one diagonal only the first makes the window.
-    """
-    pieces = rows.select("id", "words", F.posexplode_outer("words").alias("at", "word"))
+def _hits(rows: DataFrame, anchors: DataFrame, g: int, small: int) -> DataFrame:
+    """The places (``at`` counts words) where a text holds a ``g``-word shingle of an item, with its number and weight."""
+    pieces = rows.select("id", "text_key", "words", F.posexplode_outer("words").alias("at", "word"))
     more = [F.get("words", F.col("at") + k) for k in range(1, g)]
-    grams = pieces.select("id", "words", "at", F.xxhash64("word", *more).alias("gram"))
+    grams = pieces.select("id", "text_key", "words", "at", F.xxhash64("word", *more).alias("gram"))
     index = anchors.filter(F.col("g") == g).withColumn("gram", F.xxhash64(*[F.get(F.split("i_gram", " "), F.lit(k)) for k in range(g)]))
     hits = grams.join(small_or_shuffled(index, small), "gram")
-    slice_of = F.expr("array_join(slice(words, at + 1, g), ' ')")
-    before = F.when((F.col("at") > 0) & (F.col("i_pos") > 0), F.expr("get(words, at - 1)"))
-    hits = hits.filter((slice_of == F.col("i_gram")) & ~F.coalesce(before == F.col("i_before"), F.lit(False)))
+    hits = hits.filter(F.expr("array_join(slice(words, at + 1, g), ' ')") == F.col("i_gram"))
     led = F.expr("cast(get(words, 0) = '' AS int)")
     n = F.expr("size(words) - cast(get(words, 0) = '' AS int) - cast(size(words) > 1 AND element_at(words, -1) = '' AS int)")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - led - F.col("i_pos"), n - F.col("len")))
-    placed = hits.select("id", "item", "g", "len", start.alias("start"), (start + led).alias("from"), n.alias("n"), "words")
-    cut = placed.select("id", "item", "g", "len", "start", F.expr("slice(words, from + 1, least(len, n))").alias("window"))
-    return cut.dropDuplicates(["id", "item", "start", "window"])
+    return hits.select(
+        "id", "text_key", "item", "g", "len", "total", "k", "w", "places", (F.col("at") - led).alias("at"), led.alias("led"), n.alias("n")
+    )
+
+
+def _starts(hits: DataFrame, similarity: float) -> DataFrame:
+    """(id, text_key, item, g, len, led, starts, aligned): the windows whose own hits weigh enough for the similarity.
+
+    A window shares with the item what its hits weigh, and the union is no lighter than the item. So
+    ``similarity`` times the item's weight is a bound that every window above the similarity meets,
+    whichever diagonals its hits lie on. Starts are handled in stretches of one item length, with
+    the hits that their windows can hold. Those on the diagonal of a hit are ``aligned``.
+    """
+    last = "greatest(n - len, 0)"
+    stretches = f"explode(sequence(greatest(at - len + g, 0) div len, least(at, {last}) div len)) AS stretch"
+    placed = hits.select("*", F.expr(stretches))
+    keys = ["id", "text_key", "item", "g", "len", "total", "led", "n", "stretch"]
+    grouped = placed.groupBy(*keys).agg(F.collect_set(F.struct("at", "k", "w", "places")).alias("hits"))
+    weight = "aggregate(array_distinct(transform({0}, h -> named_struct('k', h.k, 'w', h.w))), 0L, (a, x) -> a + x.w)"
+    need = f"total * {similarity!r}D * (1 - 1e-9D)"
+    inside = weight.format("filter(hits, h -> h.at BETWEEN s AND s + len - g)")
+    heavy = grouped.filter(F.expr(f"{weight.format('hits')} >= {need}"))
+    first = "cast(stretch * len AS int)"
+    starts = F.expr(f"filter(sequence({first}, least({first} + len - 1, {last})), s -> {inside} >= {need})")
+    lines = F.expr(f"array_distinct(flatten(transform(hits, h -> transform(h.places, p -> greatest(least(h.at - p, {last}), 0)))))")
+    return heavy.select("id", "text_key", "item", "g", "len", "led", starts.alias("starts"), lines.alias("aligned"))
+
+
+def _windows(texts: DataFrame, starts: DataFrame, small: int) -> DataFrame:
+    """The item-sized windows at the given starts; equal windows of an id count once."""
+    wanted = small_or_shuffled(starts.withColumnsRenamed({"id": "s_id", "text_key": "s_key"}), small)
+    met = texts.join(wanted, (F.col("text_key") == F.col("s_key")) & F.col("id").eqNullSafe(F.col("s_id")))
+    placed = met.select("id", "item", "g", "len", "led", "starts", "aligned", pieces_of(F.col("text")).alias("words"))
+    placed = placed.select("id", "item", "g", "len", "led", "words", "aligned", F.explode("starts").alias("start"))
+    n = F.expr("size(words) - led - cast(size(words) > 1 AND element_at(words, -1) = '' AS int)")
+    cut = placed.withColumn("window", F.slice("words", F.col("start") + F.col("led") + 1, F.least("len", n)))
+    cut = cut.withColumn("shifted", ~F.array_contains("aligned", F.col("start")))
+    return cut.select("id", "item", "g", "len", "start", "shifted", "window").dropDuplicates(["id", "item", "start", "window"])
 
 
 @query("op10_decontaminate")

@@ -169,6 +169,54 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def brute_leaks(rows, items, similarity):
+    """The best window of every text and item, over all windows of the item's length; aligned windows come first."""
+    cut = lambda t: [w for w in re.split(r"[^\w]+", t.lower()) if w]
+    best = {}
+    for item, item_text in items:
+        want = cut(item_text)
+        g = min(5, len(want))
+        grams = lambda w: {" ".join(w[i : i + g]) for i in range(max(1, len(w) - g + 1))}
+        weigh = lambda s: sum(len(x) - g + 1 for x in s)
+        mine = grams(want)
+        for i, text in rows:
+            words = cut(text)
+            last = max(0, len(words) - len(want))
+            hits = [(a, p) for a in range(len(words) - g + 1) for p in range(len(want) - g + 1) if words[a : a + g] == want[p : p + g]]
+            lines = {max(0, min(a - p, last)) for a, p in hits}
+            for start in range(max(1, len(words) - len(want) + 1)):
+                own = grams(words[start : start + len(want)])
+                score = weigh(own & mine) / weigh(own | mine)
+                rank = (start in lines, score, -start)
+                if score >= similarity and rank > best.get((i, item), (False, 0)):
+                    best[i, item] = rank
+    return {k: (score, -start) for k, (_, score, start) in best.items()}
+
+
+def test_decontamination_finds_every_window(spark):
+    rng = np.random.default_rng(11)
+    some = lambda n: [f"{'abcdefgh'[rng.integers(8)] * int(rng.integers(1, 9))}{rng.integers(10**4)}" for _ in range(n)]
+    items, rows = [], []
+    for item, (size, at) in enumerate([(50, 25), (40, 16), (59, 10), (30, 12), (55, 40), (20, 3)]):
+        words = some(size)
+        items.append((item, " ".join(words)))
+        swapped = words[at:] + words[:at]
+        k = int(rng.integers(5, size - 5))
+        for body in (words, swapped, words[:k] + some(2) + words[k:], words[:k] + words[k + 2 :], swapped[:-2], some(1) + swapped[2:], words[:k] + words, words[1:] * 3):
+            rows.append((len(rows), " ".join(some(70) + body + some(90))))
+            rows.append((len(rows), "(" + " ".join(body) + ")"))
+        rows.append((len(rows), " ".join(some(9) + words[:k] + some(size) + words[k:])))
+    want = brute_leaks(rows, items, 0.75)
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.id, r.item): (r.similarity, r.start_word) for r in found.collect()}
+    assert {(2, 0), (18, 1), (36, 2)} <= set(want)  # the swapped parts
+    assert {k: (round(s, 9), at) for k, (s, at) in got.items()} == {k: (round(s, 9), at) for k, (s, at) in want.items()}
+    for limit in (200_000, 0):
+        same = spark.createDataFrame([(None, rows[2][1]), (None, rows[2][1]), (7, rows[0][1]), (7, rows[18][1])], "doc_id long, text string")
+        again = decontaminate.leaks(same, spark.createDataFrame(items, "item_id long, text string"), small=limit)
+        assert sorted((str(r.id), r.item) for r in again.collect()) == [("7", 0), ("7", 1), ("None", 0)]
+
+
 def test_license_spans(spark, docs, none):
     rows = [(1, "Licensed under the Apache License, Version 2.0."), (2, "cc by CC-BY, all rights reserved"), (3, "all right reserved"),
             (4, "Licensed under the fine Apache License, Version 2.0."), (5, None), (6, "...")]
