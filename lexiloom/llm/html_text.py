@@ -1,7 +1,7 @@
 """Main text of web pages by site template removal.
 
-Every page is read once to hash its element subtrees; Spark counts on how many pages of a host each
-subtree stands. A second reading deletes the subtrees that recur across many pages of the host,
+Every page is read once to hash its element subtrees; Spark counts on how many distinct pages of a
+host each subtree stands. A second reading deletes the subtrees that recur across many pages of the host,
 along with elements that are never content, and returns the text of the article.
 """
 
@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written_table
-from .base import query, small_or_shuffled, table, text_or_empty
+from .base import holds_at_most, query, table, text_or_empty
 from .url_rules import url_host
 
-#: A subtree is template when it stands on so many pages of its host, and on this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.5
+#: A subtree is template when it stands on so many distinct pages of its host. On less than this share of
+#: them it is a narrow one, of a section or a language: all of these together must leave so much of a page's text.
+MIN_PAGES, MIN_SHARE, MIN_LEFT = 5, 0.5, 0.2
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<|[^<]+", re.S)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -141,43 +142,69 @@ def read_page(html: str, template: frozenset | set = frozenset()) -> tuple[str,
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, marks = [], []
-        for host, html in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
-            found = set(read_page(html)[1])
-            hosts += [host] * len(found)
-            marks += found
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(marks, pa.int64())], ["host", "mark"])
+        marks = [sorted(set(read_page(html)[1])) for html in batch["html"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["host"], batch["page"], pa.array(marks, pa.list_(pa.int64()))], ["host", "page", "marks"])
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, marks): the subtree hashes that are template of each host.
+def _keyed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    html = text_or_empty(html_col)
+    return pages.select(url_host(F.col(url_col)).alias("host"), F.md5(html).alias("page"), html.alias("html"))
 
-    A host has at most (subtrees of a mean page / min_share) of them.
+
+def distinct_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, page, marks): the subtree hashes of each distinct page; copies on a host are one page."""
+    marked = _keyed(pages, url_col, html_col).mapInArrow(_hash_rows, "host string, page string, marks array<long>")
+    return marked.dropDuplicates(["host", "page"])
+
+
+def site_templates(distinct: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, mark, n, wide): the subtree hashes on ``min_pages`` distinct pages of a host; ``wide`` ones on ``min_share`` of them."""
+    sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counts = distinct.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.filter(F.col("n") >= min_pages).join(sizes, "host")
+    often = often.filter(F.col("n") >= min_share * F.col("pages"))
+    return often.select("host", "mark", "n", (F.col("n") >= min_share * F.col("pages")).alias("wide"))
+
+
+def without_templates(html: str, wide: frozenset, narrow: frozenset) -> str:
+    """Main text without the wide templates, and without the narrow ones if they leave ``MIN_LEFT`` of it.
+
+    Pages that narrow templates would all but empty are near copies of each other.
     """
-    rows = pages.select(url_host(F.col(url_col)).alias("host"), text_or_empty(html_col).alias("html"))
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = rows.mapInArrow(_hash_rows, "host string, mark long").groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.filter(F.col("n") >= min_pages).join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("mark").alias("marks"))
+    kept = read_page(html, wide | narrow)[0]
+    if narrow:
+        whole = read_page(html, wide)[0]
+        return kept if len(kept) >= MIN_LEFT * len(whole) else whole
+    return kept
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", small: int = 10_000, **thresholds) -> DataFrame:
     """``pages`` with a column ``main_text`` (an input column of that name is replaced).
 
     Null html has the text ``""``. Every row is answered, repeated ones alike. Pages without a host
-    are one site. Templates are broadcast if counted small, else joined by host.
+    are one site. Templates are broadcast by host if counted small; else each page is joined with
+    those of its own, so that no row carries all templates of a large host.
     """
-    templates = written_table(site_templates(pages, url_col, html_col, **thresholds), "templates")
-    rows = pages.drop("main_text").withColumn("__host", url_host(F.col(url_col)))
-    marked = small_or_shuffled(templates.select(F.col("host").alias("__of"), F.col("marks").alias("__marks")), small)
-    joined = rows.join(marked, F.col("__host") == F.col("__of"), "left")
-
-    def extract(html: pa.Array, marks: pa.Array) -> pa.Array:
-        return pa.array([read_page(h or "", frozenset(m or ()))[0] for h, m in zip(html.to_pylist(), marks.to_pylist())], pa.string())
+    distinct = written_table(distinct_pages(pages, url_col, html_col), "page-marks")
+    templates = written_table(site_templates(distinct, **thresholds), "templates")
+    both = [F.collect_list(F.when(F.col("wide"), F.col("mark"))).alias("__wide"), F.collect_list(F.when(~F.col("wide"), F.col("mark"))).alias("__narrow")]
+    rows = pages.drop("main_text").withColumns({"__host": url_host(F.col(url_col)), "__page": F.md5(text_or_empty(html_col))})
+    same = F.col("__host") == F.col("__of")
+    if holds_at_most(templates, small):
+        marked = F.broadcast(templates.groupBy(F.col("host").alias("__of")).agg(*both))
+    else:
+        own = distinct.select("host", "page", F.explode("marks").alias("mark")).join(templates, ["host", "mark"])
+        marked = own.groupBy(F.col("host").alias("__of"), F.col("page").alias("__at")).agg(*both)
+        same &= F.col("__page") == F.col("__at")
+    joined = rows.join(marked, same, "left")
+
+    def extract(html: pa.Array, wide: pa.Array, narrow: pa.Array) -> pa.Array:
+        columns = zip(html.to_pylist(), wide.to_pylist(), narrow.to_pylist())
+        return pa.array([without_templates(h or "", frozenset(w or ()), frozenset(n or ())) for h, w, n in columns], pa.string())
 
     return joined.select(
         *[F.col(c) for c in pages.columns if c != "main_text"],
-        F.arrow_udf(extract, "string")(text_or_empty(html_col), F.col("__marks")).alias("main_text"),
+        F.arrow_udf(extract, "string")(text_or_empty(html_col), F.col("__wide"), F.col("__narrow")).alias("main_text"),
     )
 
 

@@ -251,6 +251,18 @@ def test_html_text(spark):
     assert got[3] == "Site name 3 Own text 3" and got[8] == "" and html_text.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [10_000, 0])
+def test_html_copies_are_one_page(spark, small):
+    bare = "<body><div><p>First part of it.</p><p>Second part</p></div></body>"
+    article = "<body><article><h1>Head</h1><div>Text in a div</div><ul><li>point</li></ul></article></body>"
+    others = [f"<body><div><p>Other {i}</p></div></body>" for i in range(3)]
+    rows = [(i, f"http://{host}.b/", html) for host, page in (("bare", bare), ("art", article)) for i, html in enumerate([page] * 9 + others)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), small=small).collect()
+    assert len(got) == len(rows)
+    assert {r.main_text for r in got if r.url == "http://bare.b/" and r.page_id < 9} == {"First part of it. Second part"}
+    assert {r.main_text for r in got if r.url == "http://art.b/" and r.page_id < 9} == {"Head Text in a div point"}
+
+
 def test_warc_round_trip(spark):
     body = "é\r\n\r\nWARC/1.1\r\n" * 10
     rows = [(5, "http://a.com/x", body), (3, "http://a.com/x", body), (4, "http://b.a.com/y z", "short"), (6, None, None), (None, "http://c.d", body), (7, "http://c.d", "short")]
