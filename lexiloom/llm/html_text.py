@@ -162,7 +162,6 @@ def site_templates(distinct: DataFrame, min_pages: int = MIN_PAGES, min_share: f
     sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = distinct.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
     often = counts.filter(F.col("n") >= min_pages).join(sizes, "host")
-    often = often.filter(F.col("n") >= min_share * F.col("pages"))
     return often.select("host", "mark", "n", (F.col("n") >= min_share * F.col("pages")).alias("wide"))
 
 

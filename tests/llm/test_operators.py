@@ -263,6 +263,17 @@ def test_html_copies_are_one_page(spark, small):
     assert {r.main_text for r in got if r.url == "http://art.b/" and r.page_id < 9} == {"Head Text in a div point"}
 
 
+@pytest.mark.parametrize("small", [10_000, 0])
+def test_html_templates_of_sections(spark, small):
+    page = "<body><div>Note of {0}: see the rules</div><div><p>Own text number {1} of this page</p></div></body>"
+    rows = [(40 * k + i, f"http://a.b/{lang}/{i}", page.format(lang, 40 * k + i)) for k, lang in enumerate(("en", "fr", "de", "es")) for i in range(12)]
+    near = "<body><div><i>Printed at {0}</i><p>One long paragraph of the text that is the same.</p><p>Another long paragraph of it.</p></div></body>"
+    rows += [(1000 + i, f"http://a.b/x/{i}", near.format(i)) for i in range(6)]  # near copies keep their text
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), small=small).collect()
+    assert {r.page_id: r.main_text for r in got if r.page_id < 1000} == {i: f"Own text number {i} of this page" for i, _, _ in rows if i < 1000}
+    assert all("long paragraph of the text" in r.main_text for r in got if r.page_id >= 1000)
+
+
 def test_warc_round_trip(spark):
     body = "é\r\n\r\nWARC/1.1\r\n" * 10
     rows = [(5, "http://a.com/x", body), (3, "http://a.com/x", body), (4, "http://b.a.com/y z", "short"), (6, None, None), (None, "http://c.d", body), (7, "http://c.d", "short")]
