@@ -35,6 +35,11 @@ class Kind:
 
 
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+#: Characters of the account numbers of the countries in the gazetteer; others have 15 to 34.
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "PL": 28, "PT": 25, "SE": 24}
+IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(
+    f"{country}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for country, n in IBAN_LENGTHS.items()
+) + "|[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3}))(?![A-Za-z0-9])"
 #: Where the data contract's patterns would try each character of a long run again, look-behinds start
 #: at the run's head; loops over single characters replace loops over groups. The matches are the same.
 KINDS = (
@@ -48,14 +53,14 @@ KINDS = (
          r"^(4|5[1-5]|3[47]|6011|65|2[2-7])", "^(0|1|9)", "card|visa|pay|credit|account", "isbn|serial|order|sku|part", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(value, '[^0-9]', '')) BETWEEN 8 AND 15",
          r"^\+(1|7|2[07]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", r"^\+0", "call|tel|phone|mobile|fax|whatsapp", "utc|gmt|score", True),
-    Kind("secret", r"""(?i)(?<![A-Za-z0-9_])(?:token|secret|passwd|password|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_-]{16,200}""",
+    Kind("secret", r"""(?i)(?<![A-Za-z0-9_])(?:token|secret|passwd|password|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_-]{16,}+""",
          "value rlike '[0-9]' AND value rlike '[A-Za-z]'", "(?i)^(token|secret|pass|api)", "(?i)(example|placeholder|xxxx|0000)",
          "key|auth|secret|login|config", "sample|dummy"),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "NOT value rlike '^(000|666|9..)|-00-|-0000$'",
          "^(00[1-9]|0[1-9]|[1-8])", "^(123-45-6789|111-11-1111)$", "ssn|social|identity|insurance", "isbn|part|serial|order"),
     Kind("local_phone", r"(?<![0-9+().-])(?<!\+[0-9]{1,3} )(?:\([0-9]{3}\) |[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9])", "NOT value rlike '^[(]?[01]'",
          "^[(]?[2-9]", "^[(]?[01]", "call|tel|phone|mobile|fax", "isbn|part|serial|order"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])", "length(regexp_replace(value, ' ', '')) BETWEEN 15 AND 34",
+    Kind("iban", IBAN, "length(regexp_replace(value, ' ', '')) BETWEEN 15 AND 34",
          "^(AT|BE|CH|DE|ES|FI|FR|GB|IE|IT|LU|NL|PL|PT|SE)", "^(XX|ZZ)", "iban|bank|account|konto|compte", "isbn|serial"),
     Kind("spoken_email", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63} ?(?:\.|[\[(]dot[\])]) ?[A-Za-z]{2,24}", "true",
          "(?i)(com|org|net|de|fr|es|edu)$", "(?i)^(noreply|postmaster)", "mail|contact|write", "look|meet"),

@@ -142,6 +142,24 @@ def test_pii_base_spans(spark):
         assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
 
 
+IBANS = (
+    "AT611904300234573201 BE68539007547034 CH9300762011623852957 DE89370400440532013000 ES9121000418450200051332 FI2112345600000785 "
+    "FR1420041010050500013M02606 GB82WEST12345698765432 IE29AIBK93115212345678 IT60X0542811101000000123456 LU280019400644750000 "
+    "NL91ABNA0417164300 PL61109010140000071219812874 PT50000201231234567890154 SE4550000000058398257466 NO9386011117947"
+).split()
+
+
+def test_pii_whole_account_numbers_and_long_keys(spark):
+    key = "".join("abcXYZ0189_-"[i * 7 % 12] for i in range(500))
+    spaced = [" ".join(v[i : i + 4] for i in range(0, len(v), 4)) for v in IBANS]
+    wanted = [("iban", v) for v in IBANS + spaced] + [("secret", f"api_key = {key}")]
+    rows = [(i, f"pay to {kind} {v} or EUR") for i, (kind, v) in enumerate(wanted)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_pii(docs).collect()
+    for i, (kind, v) in enumerate(wanted):
+        assert [(r.value, r.end - r.start) for r in found if r.id == i and r.kind == kind] == [(v, len(v))], v
+
+
 def test_pii_edges(docs, none):
     assert pii.span_digest(docs).count() == docs.count() and pii.span_digest(none).count() == 0
 
