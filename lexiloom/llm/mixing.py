@@ -23,7 +23,9 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.7
 #: Share of all tokens that the sample should hold.
 BUDGET = 0.5
+#: Both solvers stop raking and halving by these.
 TOLERANCE, ROUNDS = 1e-9, 200
+BUDGET_TOLERANCE, HALVINGS = 1e-12, 100
 
 
 def genre(text: Column) -> Column:
@@ -76,9 +78,9 @@ def calibrate(tokens: np.ndarray, weights: np.ndarray, budget: float) -> np.ndar
     """min(1, scale * weight) with the scale at which the expected tokens meet ``budget`` of the total."""
     goal = min(budget * tokens.sum(), tokens[weights > 0].sum())
     low, high = 0.0, 1.0
-    while (tokens * np.minimum(1, high * weights)).sum() < goal * (1 - 1e-12) and high < 1e18:
+    while (tokens * np.minimum(1, high * weights)).sum() < goal * (1 - BUDGET_TOLERANCE) and high < 1e18:
         high *= 2
-    for _ in range(100):
+    for _ in range(HALVINGS):
         mid = (low + high) / 2
         low, high = (mid, high) if (tokens * np.minimum(1, mid * weights)).sum() < goal else (low, mid)
     return np.minimum(1, high * weights)
@@ -102,11 +104,11 @@ def _rake_small(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], bu
     return cells.sparkSession.createDataFrame(made, "source string, lang string, topic string, weight double, probability double")
 
 
-def _rake_large(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], budget: float, rounds: int = 30) -> DataFrame:
+def _rake_large(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], budget: float) -> DataFrame:
     """The same by joins on the cell table, for more cells than a driver should hold; each round is checkpointed."""
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    rated = cells.withColumn("weight", F.lit(1.0))
+    rated = cells.withColumn("weight", (F.col("tokens") > 0).cast("double"))
     goals = {}
     for d in DIMENSIONS:
         if d in targets:
@@ -116,25 +118,27 @@ def _rake_large(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], bu
         goals[d] = own.filter("goal > 0")
         rated = rated.join(goals[d].select(d), d, "left_semi")
     rated = cut_lineage(rated)
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         worst = 0.0
         for d in DIMENSIONS:
             now = rated.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now")).join(goals[d], d)
             whole = now.filter("now > 0").agg(F.sum("goal")).first()[0] or 1.0
-            ratio = now.select(d, F.when(F.col("now") > 0, F.col("goal") / whole * total / F.col("now")).otherwise(0.0).alias("ratio"))
+            ratio = now.select(d, F.when(F.col("now") > 0, F.col("goal") / whole * total / F.col("now")).otherwise(0.0).alias("ratio"), "now")
             ratio = cut_lineage(ratio)
-            worst = max(worst, ratio.agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0.0)
-            rated = rated.join(ratio, d).withColumn("weight", F.col("weight") * F.col("ratio")).drop("ratio")
+            worst = max(worst, ratio.filter("now > 0").agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0.0)
+            rated = rated.join(ratio.drop("now"), d).withColumn("weight", F.col("weight") * F.col("ratio")).drop("ratio")
         rated = cut_lineage(rated)
         if worst < TOLERANCE:
             break
     goal = min(budget * total, rated.filter("weight > 0").agg(F.sum("tokens")).first()[0] or 0)
     low, high = 0.0, 1.0
     expected = lambda s: rated.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), s * F.col("weight")))).first()[0] or 0.0
-    while expected(high) < goal * (1 - 1e-9) and high < 1e18:
+    while expected(high) < goal * (1 - BUDGET_TOLERANCE) and high < 1e18:
         high *= 2
-    for _ in range(40):
+    for _ in range(HALVINGS):
         mid = (low + high) / 2
+        if mid in (low, high):  # neighbouring numbers: no halving changes anything any more
+            break
         low, high = (mid, high) if expected(mid) < goal else (low, mid)
     scaled = rated.withColumn("probability", F.least(F.lit(1.0), high * F.col("weight")))
     lost = cells.join(scaled.select(*DIMENSIONS), list(DIMENSIONS), "left_anti")

@@ -334,6 +334,19 @@ def test_raking_meets_its_marginals(spark, docs, none):
     assert mixing.mix_to_targets(docs).count() == docs.count() and mixing.mix_to_targets(none).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [3])
+def test_both_solvers_rake_alike(spark, monkeypatch, rounds):
+    monkeypatch.setattr(mixing, "ROUNDS", rounds)  # by then neither has converged
+    schema = "source string, lang string, topic string, tokens long"
+    # Without its empty corner the table can meet its targets in the limit only; one cell has no tokens.
+    cells = spark.createDataFrame([("a", "en", "x", 40), ("a", "fr", "x", 30), ("b", "en", "x", 70), ("b", "de", "x", 0), ("c", "de", "x", 0)], schema).coalesce(1)
+    targets = {"source": {"a": 0.5, "b": 0.5, "c": 0.1}, "lang": {"en": 0.5, "fr": 0.5, "de": 0.2}, "topic": {"x": 1.0}}
+    both = [{(r.source, r.lang): (r.weight, r.probability) for r in solve(cells, targets, 0.5).collect()} for solve in (mixing._rake_small, mixing._rake_large)]
+    assert both[0].keys() == both[1].keys() and both[0]["b", "de"] == both[1]["b", "de"] == (0, 0) and both[0]["a", "en"][0] > 0
+    for key, values in both[0].items():
+        assert np.allclose(values, both[1][key], rtol=1e-7, atol=1e-12), key
+
+
 def test_toxicity_learns_and_keeps_the_fold(spark, docs, none):
     rng = np.random.default_rng(2)
     rows, labels = [], []
