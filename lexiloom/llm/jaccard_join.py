@@ -30,6 +30,8 @@ SHINGLE, PERCENT = 4, 85
 BUCKETS = 1 << 20
 #: Longs of the parity bitmap, rows of a join key that are dealt to one task, members compared at once.
 LANES, HOT, BLOCK = 8, 10_000, 1000
+#: Counters a shuffled row holds, and the logarithm of the step of the sizes whose costs are summed.
+WIDE, LOG_STEP = 64, float(np.log(1.1))
 #: Comparisons a list member may cost before another round of pivots is tried.
 CROSS = 200
 
@@ -69,102 +71,113 @@ def gram_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         low = high
 
 
-def _describer(size: int):
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(gram_sets(batch["text"], size))
-            columns = [batch["id"], pa.array([len(s) for s in sets], pa.int32()), pa.array([_sum(s) for s in sets], pa.int64())]
-            columns += [pa.array([_sum(_mix(s * _SECOND)) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", "shingles"])
-
-    return describe
-
-
 def _bucket_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> _U(44)).astype(np.int64)
 
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for s in batch["shingles"]:
-            np.add.at(total, _bucket_of(np.frombuffer(s.as_buffer(), _U)), 1)
-    held = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], ["bucket", "n"])
+def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How many texts hold a shingle of each bucket; the driver gets ``BUCKETS`` numbers at any input size.
 
+    A task sends its counters in rows of ``WIDE`` columns, so that few rows are shuffled.
+    """
+    columns = [f"c{k}" for k in range(WIDE)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for s in gram_sets(batch["text"], size):
+                np.add.at(total, _bucket_of(s), 1)
+        blocks = total.reshape(-1, WIDE)
+        held = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), *[pa.array(blocks[held, k]) for k in range(WIDE)]], ["block", *columns])
 
-def _ordered(shingles: np.ndarray, often: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``first`` shingles in the global order (rare first, then by hash) and their counts."""
-    counts = often[_bucket_of(shingles)]
-    order = np.lexsort((shingles, counts))[:first]
-    return shingles[order], counts[order]
+    counted = texts.select("text").mapInArrow(count, "block int, " + ", ".join(f"{c} long" for c in columns))
+    found = counted.groupBy("block").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+    counts = np.zeros((BUCKETS // WIDE, WIDE), np.int64)
+    counts[found["block"].to_numpy()] = np.stack([found[c].to_numpy() for c in columns], 1)
+    return counts.ravel()
 
 
-def size_class(n):
-    """Sizes in steps of a tenth; costs are summed by class."""
-    return np.floor(np.log(n) / np.log(1.1)).astype(np.int64)
+_LANES = [f"p{k}" for k in range(LANES)]
+_DESCRIBED = "id long, n int, s1 long, s2 long, kept binary, single int, scan double, " + ", ".join(f"{p} long" for p in _LANES)
 
 
-def _coster(often, noise: float, percent: int):
-    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, list[float]] = {}
+def _describer(size: int, percent: int, often, noise: float):
+    """Of each text: set size, 128-bit set hash, the prefix without shingles that no other set holds, how many of
+    them lie in the shorter prefix, what a scan of their lists costs, and the parities of ``LANES`` * 64 buckets."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, s in zip(batch["n"].to_pylist(), batch["shingles"]):
-                prefix = min(n, n - need(n, percent) + 2)
-                _, counts = _ordered(np.frombuffer(s.as_buffer(), _U), often.value, prefix)
-                row = totals.setdefault(int(size_class(n)), [0.0, 0.0])
-                row[0] += prefix * (prefix - 1) / 2
-                row[1] += float(np.maximum(counts[: max(prefix - 1, 1)] - noise, 1).sum())
-        columns = list(zip(*[(k, *v) for k, v in totals.items()])) or [[], [], []]
-        types = (pa.int64(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["class", "pairs", "scans"])
+            sizes, ones, twos, kept, single, scan = [], [], [], [], [], []
+            lanes = np.zeros((batch.num_rows, LANES), np.int64)
+            for i, s in enumerate(gram_sets(batch["text"], size)):
+                n = len(s)
+                counts = often.value[_bucket_of(s)]
+                order = np.lexsort((s, counts))[: n - need(n, percent) + 2]
+                shared = counts[order] > 1  # a counter of one proves that no other text holds the shingle
+                low = n - need(n, percent) + 1
+                sizes.append(n)
+                ones.append(_sum(s))
+                twos.append(_sum(_mix(s * _SECOND)))
+                kept.append(s[order][shared].tobytes())
+                single.append(int(shared[:low].sum()))
+                scan.append(float(np.maximum(counts[order[:low]] - noise, 1).sum()))
+                bits = np.bincount((s & _U(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
+                lanes[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
+            columns = [pa.array(c, t) for c, t in zip((sizes, ones, twos, kept, single, scan), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.float64()))]
+            columns = [batch["id"], *columns, *[pa.array(lanes[:, k].copy()) for k in range(LANES)]]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _DESCRIBED.split(", ")])
 
-    return cost
+    return describe
 
 
-def _poster(often, light: int, percent: int):
+def _poster(light: int, percent: int):
     """Postings (key, doc, n, side): side 0 under pairs, 1 heavy and 2 light under single shingles."""
     least = percent * (light + 1)  # 100 times the smallest size that links with a heavy set
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, sizes, sides = [], [], [], []
+            keys, docs, sizes, sides, held = [], [], [], [], 0
 
             def add(key, doc, n, side):
                 keys.append(key)
                 docs.append(np.full(len(key), doc, np.int64))
                 sizes.append(np.full(len(key), n, np.int32))
                 sides.append(np.full(len(key), side, np.int8))
+                return len(key)
 
-            for doc, n, s in zip(batch["doc"].to_pylist(), batch["n"].to_pylist(), batch["shingles"]):
-                prefix, counts = _ordered(np.frombuffer(s.as_buffer(), _U), often.value, n - need(n, percent) + 2)
-                single = prefix[: n - need(n, percent) + 1]
-                # A counter of one proves that no other set holds the shingle.
-                shared, single = prefix[counts > 1], single[counts[: len(single)] > 1]
-                if n <= light:
+            def packed():
+                flat = [np.concatenate(c) if c else np.zeros(0, t) for c, t in ((keys, _U), (docs, np.int64), (sizes, np.int32), (sides, np.int8))]
+                return pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), *map(pa.array, flat[1:])], ["key", "doc", "n", "side"])
+
+            for doc, n, s, single in zip(*[batch[c].to_pylist() for c in ("doc", "n", "kept", "single")]):
+                shared = np.frombuffer(s, _U)
+                if n > light:
+                    held += add(shared[:single], doc, n, 1)
+                else:
                     i, j = np.triu_indices(len(shared), 1)
-                    add(_mix(shared[i] * _SECOND + _mix(shared[j])), doc, n, 0)
+                    held += add(_mix(shared[i] * _SECOND + _mix(shared[j])), doc, n, 0)
                     if 100 * n >= least:
-                        add(single, doc, n, 2)
-                else:
-                    add(single, doc, n, 1)
-            flat = [np.concatenate(c) if c else np.zeros(0, t) for c, t in ((keys, _U), (docs, np.int64), (sizes, np.int32), (sides, np.int8))]
-            for low in range(0, len(flat[0]), 1 << 16):
-                part = [c[low : low + (1 << 16)] for c in flat]
-                yield pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), *map(pa.array, part[1:])], ["key", "doc", "n", "side"])
+                        held += add(shared[:single], doc, n, 2)
+                if held > 1 << 17:
+                    yield packed()
+                    keys, docs, sizes, sides, held = [], [], [], [], 0
+            yield packed()
 
     return post
 
 
-def _parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets with ``LANES`` longs whose bits are the parities of their shingles' buckets."""
-    for batch in batches:
-        lanes = np.zeros((batch.num_rows, LANES), np.int64)
-        for i, s in enumerate(batch["shingles"]):
-            bits = np.bincount((np.frombuffer(s.as_buffer(), _U) & _U(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
-            lanes[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
-        columns = [batch["doc"], batch["n"], batch["shingles"], *[pa.array(lanes[:, k].copy()) for k in range(LANES)]]
-        yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "shingles", *[f"p{k}" for k in range(LANES)]])
+def _setter(size: int):
+    """The shingle sets of the texts whose set hash is the one asked for (``of``)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = zip(batch["id"].to_pylist(), batch["of"].to_pylist(), gram_sets(batch["text"], size))
+            kept = [(doc, of, s.tobytes()) for doc, of, s in asked if _sum(s) == of]
+            columns = zip(zip(*kept) if kept else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["doc", "s1", "shingles"])
+
+    return sets
 
 
 def _confirmer(percent: int):
@@ -179,11 +192,16 @@ def _confirmer(percent: int):
     return F.arrow_udf(linked, "boolean")
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], by: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+def salted_join(
+    many: DataFrame, one: DataFrame, keys: list[str], by: str, counts: DataFrame, how: str = "inner", small: int = 0
+) -> DataFrame:
     """``many`` joined with ``one`` (a row per key); keys with more than ``HOT`` rows are dealt over several tasks.
 
     ``counts`` holds the keys and their ``rows`` in ``many``; the rows of a hot key are dealt by the column ``by``.
+    ``one`` is broadcast instead when a count proves that it has at most ``small`` rows.
     """
+    if small and holds_at_most(one, small):
+        return many.join(F.broadcast(one), keys, how)
     hot = written_table(counts.filter(F.col("rows") > HOT).select(*keys, F.ceil(F.col("rows") / HOT).cast("int").alias("__deals")), "hot")
     if not hot.head(1):
         return many.join(one, keys, how)
@@ -225,59 +243,75 @@ def light_boundary(costs: list[tuple[int, float, float]]) -> int:
         total += pairs - scans
         if total < best:
             best, at = total, k
-    sizes = np.arange(1, 1 << 20)
-    return int(sizes[size_class(sizes) <= at].max(initial=0)) if at >= 0 else 0
+    return int(np.exp(LOG_STEP * (at + 1)) - 1e-9) if at >= 0 else 0
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def jaccard_links(sets: DataFrame, percent: int = PERCENT, light: int | None = None) -> DataFrame | None:
-    """(doc, part) of every linked set of ``sets`` (doc, n, shingles; a written table of distinct sets), or None."""
-    sc = sets.sparkSession.sparkContext
-    counted = sets.select("shingles").mapInArrow(_count_buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # at most BUCKETS rows
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    often = sc.broadcast(counts)
+def jaccard_links(sets: DataFrame, rows: DataFrame, size: int, percent: int, light: int | None, small: int) -> DataFrame | None:
+    """(doc, part) of every linked set of ``sets`` (distinct described sets with their ``doc``), or None."""
     if light is None:
-        costs = sets.select("n", "shingles").mapInArrow(_coster(often, counts.sum() / BUCKETS, percent), "class long, pairs double, scans double")
-        light = light_boundary([tuple(r) for r in costs.groupBy("class").agg(F.sum("pairs"), F.sum("scans")).collect()])
-    posted = written_table(sets.select("doc", "n", "shingles").mapInArrow(_poster(often, light, percent), "key long, doc long, n int, side byte"), "postings")
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("side", "n", "doc")).alias("pivot"))
+        kept = F.floor(F.octet_length("kept") / 8)
+        classed = sets.filter("n > 0").groupBy(F.floor(F.log(F.col("n").cast("double")) / LOG_STEP).alias("class"))
+        costs = classed.agg(F.sum(kept * (kept - 1) / 2).alias("pairs"), F.sum("scan").alias("scans"))
+        light = light_boundary([tuple(r) for r in costs.collect()])  # a row per tenth of size
+    posted = sets.select("doc", "n", "kept", "single").mapInArrow(_poster(light, percent), "key long, doc long, n int, side byte")
+    posted = written_table(posted, "postings")
     # Light sets meet under pairs, so a list of single shingles needs a heavy member.
-    lists = written_table(lists.filter("rows > 1 AND pivot.side < 2").select("key", "rows", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "lists")
-    members = written_table(salted_join(posted, lists, ["key"], "doc", lists), "members")
-    wanted = written_table(members.select("doc").distinct(), "wanted")
-    held = sets.join(small_or_shuffled(wanted, 1_000_000), "doc", "left_semi")
-    lanes = [f"p{k}" for k in range(LANES)]
-    held = written_table(held.select("doc", "n", "shingles").mapInArrow(_parity, "doc long, n int, shingles binary, " + ", ".join(f"{p} long" for p in lanes)), "held")
-    stars = members.filter("doc != pivot").filter(_fits(F.col("n"), F.col("pivot_n"), percent))
-    links = written_table(_confirmed(stars.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), held, percent), "links")
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("side").alias("side")).filter("rows > 1 AND side < 2")
+    lists = written_table(lists.drop("side"), "lists")
+    members = written_table(salted_join(posted, lists.select("key"), ["key"], "doc", lists, small=small), "members")
+    pivots = members.groupBy("key").agg(F.min(F.struct("side", "n", "doc")).alias("pivot"))
+    pivots = pivots.select("key", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
+    stars = salted_join(members, pivots, ["key"], "doc", lists).filter("doc != pivot").filter(_fits(F.col("n"), F.col("pivot_n"), percent))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return written_table(_confirmed(pairs, sets, rows, size, percent, small), "links")
+
+    links = confirmed(stars.select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
     spent = None
     for turn in range(1, 100):
         parts = components(links)
-        rest = _open_members(members.select("key", "doc", "n", "side"), parts)
+        rest = _open_members(members, parts)
         if rest is None:
             return parts
         totals = rest.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("part") != F.col("major"), F.col("rows"))).alias("cross")).first()
         if (totals["cross"] or 0) <= CROSS * totals["rows"] or (spent is not None and totals["cross"] > 0.7 * spent):
             break
         spent = totals["cross"]
-        more = written_table(_confirmed(_pivot_pairs(rest, turn, percent), held, percent), "links")
-        links = written_table(links.unionByName(more).distinct(), "links")
-    more = written_table(_confirmed(_crossing(rest, held, percent, lanes), held, percent), "links")
+        links = written_table(links.unionByName(confirmed(_pivot_pairs(rest, turn, percent))).distinct(), "links")
+    more = confirmed(_crossing(rest, sets, percent))
     return components(links.unionByName(more)) if more.head(1) else parts
 
 
-def _confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets link."""
+def _close(one: str, two: str, percent: int) -> Column:
+    """Whether two sets may link by their parities: every odd bucket counts a shingle of the symmetric difference."""
+    differ = sum((F.bit_count(F.col(f"{p}{one}").bitwiseXOR(F.col(f"{p}{two}"))) for p in _LANES), F.lit(0))
+    return differ * (100 + percent) <= (100 - percent) * (F.col(f"n{one}") + F.col(f"n{two}"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, percent: int, small: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets link; sets are cut from their texts for pairs that may."""
     pairs = written_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    one = held.select(F.col("doc").alias("a"), F.col("shingles").alias("one"))
-    two = held.select(F.col("doc").alias("b"), F.col("shingles").alias("two"))
-    first = salted_join(pairs, one, ["a"], "b", rows_by(pairs, "a"))
-    return salted_join(first, two, ["b"], "a", rows_by(pairs, "b")).filter(_confirmer(percent)("one", "two")).select("a", "b")
+    marks = lambda end: sets.select(F.col("doc").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "s1", *_LANES)])
+    likely = salted_join(pairs, marks("a"), ["a"], "b", rows_by(pairs, "a"))
+    likely = salted_join(likely, marks("b"), ["b"], "a", rows_by(pairs, "b")).filter(_close("_a", "_b", percent))
+    likely = written_table(likely.select("a", "s1_a", "b", "s1_b"), "likely")
+    wanted = likely.select(F.col("a").alias("want"), F.col("s1_a").alias("of")).union(likely.select("b", "s1_b")).distinct()
+    texts = rows.join(small_or_shuffled(written_table(wanted, "wanted"), small), F.col("id") == F.col("want")).select("id", "of", "text")
+    held = texts.mapInArrow(_setter(size), "doc long, s1 long, shingles binary")
+    held = written_table(held.dropDuplicates(["doc", "s1"]) if _repeats(wanted, "want") or _repeats(texts, "id") else held, "held")
+    one = held.select(F.col("doc").alias("a"), F.col("s1").alias("s1_a"), F.col("shingles").alias("one"))
+    two = held.select(F.col("doc").alias("b"), F.col("s1").alias("s1_b"), F.col("shingles").alias("two"))
+    first = salted_join(likely, one, ["a", "s1_a"], "b", rows_by(likely, "a", "s1_a"))
+    second = salted_join(first, two, ["b", "s1_b"], "a", rows_by(likely, "b", "s1_b"))
+    return second.filter(_confirmer(percent)("one", "two")).select("a", "b").distinct()
+
+
+def _repeats(df: DataFrame, key: str) -> bool:
+    return bool(rows_by(df, key).filter("rows > 1").head(1))
 
 
 def _open_members(members: DataFrame, parts: DataFrame) -> DataFrame | None:
@@ -302,25 +336,24 @@ def _pivot_pairs(rest: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.select(F.col("doc").alias("a"), F.col("pivot.doc").alias("b"))
 
 
-def _crossing(rest: DataFrame, held: DataFrame, percent: int, lanes: list[str]) -> DataFrame:
+def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of one list and different components that may link.
 
     One of a pair lies outside the list's largest component. Both sides are dealt into blocks of about
     ``BLOCK`` members, and a task compares two blocks at a time.
     """
-    rest = written_table(rest.join(held.select("doc", *lanes), "doc"), "rest")
+    rest = written_table(rest.join(sets.select("doc", *_LANES), "doc"), "rest")
     minor = rest.filter("part != major")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     deal = lambda salt: F.pmod(F.xxhash64("doc", F.lit(salt)), blocks).cast("int")
     every = lambda: F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = minor.select("key", deal("left").alias("i"), every().alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "side", "part", "major", *lanes)])
-    right = rest.select("key", deal("right").alias("j"), every().alias("i"), *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "side", "part", *lanes)])
-    differ = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in lanes), F.lit(0))
-    close = differ * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    left = minor.select("key", deal("left").alias("i"), every().alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "side", "part", "major", *_LANES)])
+    right = rest.select("key", deal("right").alias("j"), every().alias("i"), *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "side", "part", *_LANES)])
     # Two members outside the largest component meet twice and count once; two light sets meet under pairs.
     once = (F.col("part_b") == F.col("major_a")) | (F.col("doc_a") < F.col("doc_b"))
     met = left.join(right, ["key", "i", "j"]).filter((F.col("part_a") != F.col("part_b")) & once & (F.col("side_a") + F.col("side_b") < 4))
-    return met.filter(_fits(F.col("n_a"), F.col("n_b"), percent) & close).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    met = met.filter(_fits(F.col("n_a"), F.col("n_b"), percent) & _close("_a", "_b", percent))
+    return met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 
 
 def jaccard_components(
@@ -336,21 +369,18 @@ def jaccard_components(
     ignored. ``light`` sets the boundary by hand; results don't depend on it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    described = rows.mapInArrow(_describer(size), "id long, n int, s1 long, s2 long, shingles binary")
-    described = written_table(described.withColumn("row", F.monotonically_increasing_id()), "described")
+    counts = shingle_counts(rows, size)
+    often = docs.sparkSession.sparkContext.broadcast(counts)
+    described = written_table(rows.mapInArrow(_describer(size, percent, often, counts.sum() / BUCKETS), _DESCRIBED), "described")
     hashes = ["n", "s1", "s2"]
-    sets = described.filter("n > 0 AND id IS NOT NULL").groupBy(*hashes)
-    sets = written_table(sets.agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("rows")), "sets")
-    firsts = small_or_shuffled(sets.select("first.row", F.col("first.id").alias("doc")), small)
-    distinct = described.select("row", "n", "shingles").join(firsts, "row").select("doc", "n", "shingles")
-    if not holds_at_most(sets, small):
-        distinct = written_table(distinct, "distinct")
-    parts = jaccard_links(distinct, percent, light)
-    known = sets.select(*hashes, F.col("first.id").alias("doc"), "rows")
-    if parts is not None:
-        known = known.join(parts, "doc", "left")
-    else:
-        known = known.withColumn("part", F.lit(None).cast("long"))
+    sets = described.filter("n > 0 AND id IS NOT NULL").groupBy(*hashes).agg(F.min("id").alias("doc"), F.count(F.lit(1)).alias("rows"))
+    sets = written_table(sets, "sets")
+    firsts = small_or_shuffled(sets.select(F.col("doc").alias("id"), *hashes), small)
+    distinct = described.join(firsts, ["id", *hashes]).withColumnRenamed("id", "doc")
+    # Of sets with the same smallest id one stands for the document; its links are those of the id.
+    distinct = written_table(distinct.dropDuplicates(["doc", *hashes]) if _repeats(described, "id") else distinct, "distinct")
+    parts = jaccard_links(distinct, rows, size, percent, light, small)
+    known = sets.join(parts, "doc", "left") if parts is not None else sets.withColumn("part", F.lit(None).cast("long"))
     known = written_table(known.select(*hashes, F.coalesce("part", "doc").alias("component_id"), "rows"), "known")
     answered = salted_join(described.select("id", *hashes), known.drop("rows"), hashes, "id", known, "left")
     return answered.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
