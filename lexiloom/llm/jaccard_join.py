@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written_table
-from .base import holds_at_most, query, small_or_shuffled, table, text_or_empty
+from .base import query, small_or_shuffled, table, text_or_empty
 from .near_dups import SEGMENT, _mix, _power, _sum, _word_hashes
 
 SHINGLE, PERCENT = 4, 85
@@ -33,7 +33,7 @@ LANES, HOT, BLOCK = 8, 10_000, 1000
 #: Counters a shuffled row holds, and the logarithm of the step of the sizes whose costs are summed.
 WIDE, LOG_STEP = 64, float(np.log(1.1))
 #: Comparisons a list member may cost before another round of pivots is tried.
-CROSS = 200
+CROSS = 10
 
 _U = np.uint64
 _SECOND = _U(0x9E3779B97F4A7C15)
@@ -193,15 +193,12 @@ def _confirmer(percent: int):
 
 
 def salted_join(
-    many: DataFrame, one: DataFrame, keys: list[str], by: str, counts: DataFrame, how: str = "inner", small: int = 0
+    many: DataFrame, one: DataFrame, keys: list[str], by: str, counts: DataFrame, how: str = "inner"
 ) -> DataFrame:
     """``many`` joined with ``one`` (a row per key); keys with more than ``HOT`` rows are dealt over several tasks.
 
     ``counts`` holds the keys and their ``rows`` in ``many``; the rows of a hot key are dealt by the column ``by``.
-    ``one`` is broadcast instead when a count proves that it has at most ``small`` rows.
     """
-    if small and holds_at_most(one, small):
-        return many.join(F.broadcast(one), keys, how)
     hot = written_table(counts.filter(F.col("rows") > HOT).select(*keys, F.ceil(F.col("rows") / HOT).cast("int").alias("__deals")), "hot")
     if not hot.head(1):
         return many.join(one, keys, how)
@@ -262,7 +259,7 @@ def jaccard_links(sets: DataFrame, rows: DataFrame, size: int, percent: int, lig
     # Light sets meet under pairs, so a list of single shingles needs a heavy member.
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("side").alias("side")).filter("rows > 1 AND side < 2")
     lists = written_table(lists.drop("side"), "lists")
-    members = written_table(salted_join(posted, lists.select("key"), ["key"], "doc", lists, small=small), "members")
+    members = written_table(salted_join(posted, lists.select("key").hint("merge"), ["key"], "doc", lists), "members")
     pivots = members.groupBy("key").agg(F.min(F.struct("side", "n", "doc")).alias("pivot"))
     pivots = pivots.select("key", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
     stars = salted_join(members, pivots, ["key"], "doc", lists).filter("doc != pivot").filter(_fits(F.col("n"), F.col("pivot_n"), percent))
@@ -270,7 +267,9 @@ def jaccard_links(sets: DataFrame, rows: DataFrame, size: int, percent: int, lig
     def confirmed(pairs: DataFrame) -> DataFrame:
         return written_table(_confirmed(pairs, sets, rows, size, percent, small), "links")
 
-    links = confirmed(stars.select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
+    # Each set starts with the pivot that it shares most lists with.
+    stars = stars.groupBy(F.col("doc").alias("a"), "pivot").agg(F.count(F.lit(1)).alias("shared"))
+    links = confirmed(stars.groupBy("a").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("b")))
     spent = None
     for turn in range(1, 100):
         parts = components(links)
@@ -278,7 +277,7 @@ def jaccard_links(sets: DataFrame, rows: DataFrame, size: int, percent: int, lig
         if rest is None:
             return parts
         totals = rest.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("part") != F.col("major"), F.col("rows"))).alias("cross")).first()
-        if (totals["cross"] or 0) <= CROSS * totals["rows"] or (spent is not None and totals["cross"] > 0.7 * spent):
+        if (totals["cross"] or 0) <= CROSS * totals["rows"] or (spent is not None and totals["cross"] > 0.9 * spent):
             break
         spent = totals["cross"]
         links = written_table(links.unionByName(confirmed(_pivot_pairs(rest, turn, percent))).distinct(), "links")
@@ -327,13 +326,13 @@ def _open_members(members: DataFrame, parts: DataFrame) -> DataFrame | None:
 
 
 def _pivot_pairs(rest: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Members outside the largest component of a list, each with one member of it drawn by a hash."""
-    drawn = F.struct((F.col("side") == 2).alias("weak"), F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "side")
-    pivots = rest.filter("part = major").groupBy("key").agg(F.min(drawn).alias("pivot"))
-    others = rest.filter("part != major")
-    met = salted_join(others, pivots, ["key"], "doc", rows_by(others, "key"))
-    met = met.filter(_fits(F.col("n"), F.col("pivot.n"), percent)).filter("side + pivot.side < 4")
-    return met.select(F.col("doc").alias("a"), F.col("pivot.doc").alias("b"))
+    """Members of a list with two of it that a hash draws, one in the largest component and one outside, of other components than their own."""
+    drawn = F.struct((F.col("side") == 2).alias("weak"), F.xxhash64("doc", "key", F.lit(turn)).alias("h"), "doc", "n", "side", "part")
+    pivots = rest.groupBy("key", (F.col("part") == F.col("major")).alias("inner")).agg(F.min(drawn).alias("pivot"))
+    pivots = pivots.groupBy("key").agg(F.collect_list("pivot").alias("pivots"))  # two
+    met = salted_join(rest, pivots, ["key"], "doc", rest.groupBy("key").agg(F.first("rows").alias("rows")))
+    met = met.select("doc", "n", "side", "part", F.explode("pivots").alias("pivot")).filter("part != pivot.part AND side + pivot.side < 4")
+    return met.filter(_fits(F.col("n"), F.col("pivot.n"), percent)).select(F.col("doc").alias("a"), F.col("pivot.doc").alias("b"))
 
 
 def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
