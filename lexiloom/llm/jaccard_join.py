@@ -33,7 +33,7 @@ LANES, HOT, BLOCK = 8, 10_000, 1000
 #: Counters a shuffled row holds, and the logarithm of the step of the sizes whose costs are summed.
 WIDE, LOG_STEP = 64, float(np.log(1.1))
 #: Comparisons a list member may cost before another round of pivots is tried.
-CROSS = 10
+CROSS = 50
 
 _U = np.uint64
 _SECOND = _U(0x9E3779B97F4A7C15)
@@ -281,14 +281,27 @@ def jaccard_links(sets: DataFrame, rows: DataFrame, size: int, percent: int, lig
             break
         spent = totals["cross"]
         links = written_table(links.unionByName(confirmed(_pivot_pairs(rest, turn, percent))).distinct(), "links")
-    more = confirmed(_crossing(rest, sets, percent))
+    # One link joins two components, so the closest pair of each two is tried before the others.
+    crossing = written_table(_crossing(rest, sets, percent), "crossing")
+    closest = crossing.groupBy("part_a", "part_b").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p"))
+    links = written_table(links.unionByName(confirmed(closest.select("p.*"))), "links")
+    parts = components(links)
+    for end in ("a", "b"):
+        named = parts.select(F.col("doc").alias(end), F.col("part").alias(f"now_{end}"))
+        crossing = salted_join(crossing, named, [end], "b" if end == "a" else "a", rows_by(crossing, end), "left")
+    crossing = crossing.filter(F.coalesce("now_a", "a") != F.coalesce("now_b", "b"))
+    more = confirmed(crossing.select("a", "b"))
     return components(links.unionByName(more)) if more.head(1) else parts
 
 
+def _apart(one: str, two: str) -> Column:
+    """A lower bound of the symmetric difference of two sets: every bucket of odd parity in it holds one shingle at least."""
+    return sum((F.bit_count(F.col(f"{p}{one}").bitwiseXOR(F.col(f"{p}{two}"))) for p in _LANES), F.lit(0))
+
+
 def _close(one: str, two: str, percent: int) -> Column:
-    """Whether two sets may link by their parities: every odd bucket counts a shingle of the symmetric difference."""
-    differ = sum((F.bit_count(F.col(f"{p}{one}").bitwiseXOR(F.col(f"{p}{two}"))) for p in _LANES), F.lit(0))
-    return differ * (100 + percent) <= (100 - percent) * (F.col(f"n{one}") + F.col(f"n{two}"))
+    """Whether two sets may link by the parities of their buckets."""
+    return _apart(one, two) * (100 + percent) <= (100 - percent) * (F.col(f"n{one}") + F.col(f"n{two}"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, percent: int, small: int) -> DataFrame:
@@ -327,7 +340,7 @@ def _open_members(members: DataFrame, parts: DataFrame) -> DataFrame | None:
 
 def _pivot_pairs(rest: DataFrame, turn: int, percent: int) -> DataFrame:
     """Members of a list with two of it that a hash draws, one in the largest component and one outside, of other components than their own."""
-    drawn = F.struct((F.col("side") == 2).alias("weak"), F.xxhash64("doc", "key", F.lit(turn)).alias("h"), "doc", "n", "side", "part")
+    drawn = F.struct((F.col("side") == 2).alias("weak"), F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "side", "part")
     pivots = rest.groupBy("key", (F.col("part") == F.col("major")).alias("inner")).agg(F.min(drawn).alias("pivot"))
     pivots = pivots.groupBy("key").agg(F.collect_list("pivot").alias("pivots"))  # two
     met = salted_join(rest, pivots, ["key"], "doc", rest.groupBy("key").agg(F.first("rows").alias("rows")))
@@ -352,7 +365,10 @@ def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     once = (F.col("part_b") == F.col("major_a")) | (F.col("doc_a") < F.col("doc_b"))
     met = left.join(right, ["key", "i", "j"]).filter((F.col("part_a") != F.col("part_b")) & once & (F.col("side_a") + F.col("side_b") < 4))
     met = met.filter(_fits(F.col("n_a"), F.col("n_b"), percent) & _close("_a", "_b", percent))
-    return met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    # The end in the smaller component comes first.
+    ends = F.array_sort(F.array(*[F.struct(F.col(f"part_{x}").alias("part"), F.col(f"doc_{x}").alias("a")) for x in "ab"]))
+    met = met.select(ends.alias("e"), (_apart("_a", "_b") / (F.col("n_a") + F.col("n_b"))).alias("apart"))
+    return met.select(*[F.get("e", F.lit(i))[c].alias(name) for i, c, name in ((0, "a", "a"), (0, "part", "part_a"), (1, "a", "b"), (1, "part", "part_b"))], "apart").distinct()
 
 
 def jaccard_components(
