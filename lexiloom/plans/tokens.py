@@ -72,7 +72,20 @@ def pack_blocks(t: Tables):
 @query("token_bin_roundtrip", PACKED_SQL)
 def token_bin_roundtrip(t: Tables):
     path = scratch_path(t.spark, "token-bin")
-    A.write_token_bin(packed(t), path, V.BLOCK_LEN, parts=t.spark.sparkContext.defaultParallelism)
+    A.write_token_bin(packed(t), path, parts=t.spark.sparkContext.defaultParallelism)
+    rows = A.read_token_bin(t.spark, path, tokens_per_split=1 << 18)
+    return block_digest(K.samples_from_rows(rows, "pos", ids="token").withColumnRenamed("sample_id", "block_id"), "ids")
+
+
+@query("token_bin_append", PACKED_SQL)
+def token_bin_append(t: Tables):
+    """The same tokens written in two runs, over what an older run with more parts left."""
+    path = scratch_path(t.spark, "token-bin")
+    blocks = written_table(packed(t), "packed")
+    early = F.col("block_id") <= blocks.agg(F.percentile_approx("block_id", 0.5)).scalar()
+    A.write_token_bin(blocks, path, parts=5)
+    A.write_token_bin(blocks.filter(early), path, parts=2)
+    A.write_token_bin(blocks.filter(~early), path, parts=3, append=True)
     rows = A.read_token_bin(t.spark, path, tokens_per_split=1 << 18)
     return block_digest(K.samples_from_rows(rows, "pos", ids="token").withColumnRenamed("sample_id", "block_id"), "ids")
 

@@ -343,3 +343,61 @@ def test_spreads_keep_digits_with_large_means(spark):
     assert got["cov_loss"] == pytest.approx(((cov**2).sum() - (np.diag(cov) ** 2).sum()) / 4, rel=1e-4)
     losses = spark.createDataFrame([(1, float(v)) for v in x[:, 0]], "token int, loss double")
     assert R.token_loss_profile(losses, digits=9).first()["sd_loss"] == pytest.approx(x[:, 0].std(ddof=1), rel=1e-6)
+
+
+def token_blocks(spark, ids):
+    return spark.createDataFrame(list(enumerate(ids)), "block_id long, ids array<int>")
+
+
+def tokens_at(spark, path):
+    return [r.token for r in A.read_token_bin(spark, path, 3).orderBy("pos").collect()]
+
+
+def test_token_parts_appear_with_the_commit(spark):
+    path = scratch_path(spark, "token-parts")
+    ids = [[b * 10 + i for i in range(4)] for b in range(20)]
+    flat = [i for b in ids for i in b]
+    A.write_token_bin(token_blocks(spark, ids), path, parts=7)
+    assert tokens_at(spark, path) == flat
+    # A run with fewer parts leaves none of the older ones, and an appending one goes on behind the last.
+    A.write_token_bin(token_blocks(spark, ids[:5]), path, parts=2)
+    assert tokens_at(spark, path) == flat[:20] and len(A.list_files(spark, path, ".bin")) == len(A.committed_parts(path)) == 2
+    A.write_token_bin(token_blocks(spark, ids[5:]), path, parts=3, append=True)
+    assert tokens_at(spark, path) == flat
+    assert [p["first"] for p in A.committed_parts(path)] == sorted({p["first"] for p in A.committed_parts(path)})
+
+
+@pytest.mark.parametrize("append", [False, True])
+def test_a_failed_run_changes_nothing(spark, append):
+    path = scratch_path(spark, "token-fails")
+    A.write_token_bin(token_blocks(spark, [[1, 2], [3]]), path, parts=1)
+    with pytest.raises(Exception, match="16 bits"):
+        A.write_token_bin(token_blocks(spark, [[4], [5], [70_000]]), path, parts=3, append=append)
+    assert tokens_at(spark, path) == [1, 2, 3] and len(A.list_files(spark, path, ".bin")) == 1
+    A.write_token_bin(token_blocks(spark, []), path, parts=2, append=True)
+    assert tokens_at(spark, path) == [1, 2, 3]
+
+
+def test_only_listed_attempts_are_read(spark):
+    """Of two attempts of a task, as speculation makes them, the accepted one counts."""
+    path = scratch_path(spark, "token-attempts")
+    writer = A.TokenBinWriter(path, True)
+    fs, root = A.open_fs(path)
+    fs.create_dir(f"{root}/{writer.run}", recursive=True)
+    messages = []
+    for name, ids in (("part-000000-0.bin", [9, 9, 9]), ("part-000000-7.bin", [1, 2]), ("part-000001-8.bin", [3])):
+        batch = A.pa.RecordBatch.from_pydict({"ids": A.pa.array([ids], A.pa.list_(A.pa.int32()))})
+        with fs.open_output_stream(f"{root}/{writer.run}/{name}") as stream:
+            n = writer.encode([batch], stream)
+        messages.append(A.PartMessage(int(name[5:11]), f"{writer.run}/{name}", n))
+    assert A.committed_parts(path) is None
+    writer.commit([messages[2], None, messages[1]])
+    assert tokens_at(spark, path) == [1, 2, 3]
+
+
+def test_feather_overwrites_and_appends(spark):
+    path = scratch_path(spark, "feather-parts")
+    A.write_feather(spark.range(0, 100, 1, 6), path)
+    A.write_feather(spark.range(0, 10, 1, 2), path)
+    assert A.write_feather(spark.range(10, 15, 1, 1), path, append=True).count() == 3
+    assert sorted(r.id for r in A.read_feather(spark, path, "id bigint").collect()) == list(range(15))
