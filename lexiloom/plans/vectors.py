@@ -8,6 +8,7 @@ from ..functions import arrays as AR
 from ..functions.hashing import md5_int
 from ..operators import gates as G
 from ..operators import graph as GR
+from ..operators import neighbours as NB
 from ..operators import vectors as VE
 from ..session import written_table
 from .cleaning import lit
@@ -135,6 +136,32 @@ def knn_exact(t: Tables):
     return VE.nearest_neighbours(t.embeddings, "vec_id", VEC).select("src", "dst", "rank", F.round("sim", 6).alias("sim"))
 
 
+def cell_index(t: Tables):
+    """All vectors by cell, and the query rows: every id divisible by 100."""
+    units = written_table(NB.unit_rows(t.embeddings, "vec_id", VEC), "units")
+    return NB.CellIndex(units, 20), units.filter("id % 100 = 0")
+
+
+@query("knn_cells_all", f"WITH {KNN_SQL} SELECT src, dst, rank::INT AS rank, round(sim, 6) AS sim FROM kn WHERE src % 100 = 0")
+def knn_cells_all(t: Tables):
+    index, queries = cell_index(t)
+    return index.search(queries, len(index.centres)).select("src", "dst", "rank", F.round("sim", 6).alias("sim"))
+
+
+@query("knn_cells_recall", f"""WITH {KNN_SQL}
+SELECT count(DISTINCT src) AS n_queries, count(*) AS n_true, true AS recall_reached, (SELECT count(*) FROM e) AS n_indexed FROM kn WHERE src % 100 = 0""")
+def knn_cells_recall(t: Tables):
+    """Whether the probed cells hold at least 0.9 of the true neighbours of the query rows."""
+    index, queries = cell_index(t)
+    near = index.search(queries, index.probes_for(0.95)).select("src", "dst", F.lit(True).alias("found"))
+    true = index.search(queries, len(index.centres)).select("src", "dst")
+    both = true.join(near, ["src", "dst"], "left")
+    return both.agg(
+        F.count_distinct("src").alias("n_queries"), F.count(F.lit(1)).alias("n_true"),
+        (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"), F.lit(index.n).cast("long").alias("n_indexed"),
+    )
+
+
 def knn_edges(t: Tables):
     return written_table(VE.nearest_neighbours(t.embeddings, "vec_id", VEC), "knn").select("src", "dst", "sim")
 

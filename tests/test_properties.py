@@ -12,6 +12,7 @@ from lexiloom.operators import bpe as B
 from lexiloom.operators import dedup as D
 from lexiloom.operators import enrich as EN
 from lexiloom.operators import graph as GR
+from lexiloom.operators import neighbours as NB
 from lexiloom.operators import ordering as O
 from lexiloom.operators import profile as R
 from lexiloom.operators import tokens as K
@@ -401,3 +402,37 @@ def test_feather_overwrites_and_appends(spark):
     A.write_feather(spark.range(0, 10, 1, 2), path)
     assert A.write_feather(spark.range(10, 15, 1, 1), path, append=True).count() == 3
     assert sorted(r.id for r in A.read_feather(spark, path, "id bigint").collect()) == list(range(15))
+
+
+@pytest.mark.parametrize("cells,block", [(1, 5), (9, 4), (9, 10_000)])
+def test_cell_index_against_brute_force(spark, cells, block):
+    """Clustered vectors, one of which a third of the rows share; all cells are exact, a few reach the recall."""
+    rng = np.random.default_rng(cells)
+    centre = rng.normal(size=(9, 6)) * 4
+    rows = [(i, (centre[i % 9] + rng.normal(size=6)).tolist()) for i in range(120)]
+    rows += [(200 + i, rows[0][1]) for i in range(60)] + [(500, None)]
+    units = NB.unit_rows(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v")
+    index = NB.CellIndex(units, 4, cells, block)
+    assert index.rows.count() == 120 + 4  # of the shared vector five rows answer for all
+    queries = units.filter("id % 3 = 0")
+    mat = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v}
+    got = {}
+    for r in index.search(queries, len(index.centres)).collect():
+        got.setdefault(r.src, []).append((r["rank"], r.dst, r.sim))
+    assert set(got) == {i for i in mat if i % 3 == 0}
+    for src, found in got.items():
+        sims = {j: float(mat[src] @ mat[j]) for j in mat if j != src}
+        best = sorted(sims.values(), reverse=True)[:4]
+        assert [round(s, 9) for _, _, s in sorted(found)] == [round(s, 9) for s in best]
+        assert len({d for _, d, _ in found}) == 4 and all(abs(sims[d] - s) < 1e-9 for _, d, s in found)
+    probes = index.probes_for(0.95)
+    near = {(r.src, r.dst) for r in index.search(queries, probes).collect()}
+    true = {(s, d) for s, found in got.items() for _, d, _ in found}
+    assert 1 <= probes <= len(index.centres) and len(near & true) >= 0.9 * len(true)
+    assert index.search(units.limit(0), 2).count() == 0
+
+
+def test_cell_index_of_nothing(spark):
+    units = NB.unit_rows(spark.createDataFrame([], "k long, v array<double>"), "k", "v")
+    index = NB.CellIndex(units, 3)
+    assert index.n == 0 and index.probes_for(0.9) == 1
