@@ -19,7 +19,7 @@ from .cleaning import (
 )
 from .registry import Tables, query
 from .sources import DAMAGED, damaged_lines
-from .tokens import N_MERGES, whole_texts
+from .tokens import whole_texts
 
 WHITE = "' ' || chr(9) || chr(13) || chr(10)"
 
@@ -187,10 +187,11 @@ def stream_frames(t: Tables):
 @query("bpe_roundtrip", digest_sql(
     detokenize_sql(sub(sub("text", V.ISOLATED_PUNCT, r" \1 "), r"\s+", " ")), "documents", "doc_id"))
 def bpe_roundtrip(t: Tables):
-    """Encoding and decoding gives the detokenised text back when the alphabet covers all characters."""
+    """Encoding with a whole vocabulary and decoding gives the detokenised text back when the alphabet covers all characters."""
     texts = whole_texts(t)
     words = written_table(B.word_table(texts), "bpe-words")
-    merges = B.train_bpe(words, n_merges=N_MERGES)
-    vocab = B.build_vocab(B.alphabet(words, coverage=1.0), merges)
+    chars = B.alphabet(words, coverage=1.0)
+    merges = B.train_bpe(words, n_merges=V.VOCAB_SIZE - len(chars) - 4)
+    vocab = B.build_vocab(chars, merges)
     ids = texts.select("doc_id", B.encoder(merges, vocab)("text").alias("ids"))
     return digest(ids, B.decode(F.col("ids"), vocab), "doc_id")

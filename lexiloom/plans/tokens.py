@@ -239,6 +239,7 @@ def bpe_rows(t: Tables):
     return kept.withColumn("text", T.isolate_punct(F.col("text")))
 
 
+#: Merges of the queries whose SQL twin spells out every step; ``bpe_vocabulary`` and ``bpe_roundtrip`` learn whole vocabularies.
 N_MERGES = 40
 
 #: Every word of the corpus with its symbols, then one greedy merge per step.
@@ -268,6 +269,14 @@ def bpe_train(t: Tables):
     )
 
 
+@query("bpe_vocabulary")
+def bpe_vocabulary(t: Tables):
+    """The whole vocabulary: special symbols, characters and merged symbols, up to its size or until nothing repeats."""
+    words = written_table(B.word_table(whole_texts(t)), "bpe-words")
+    vocab = B.build_vocab(B.alphabet(words), B.train_bpe(words))
+    return t.spark.createDataFrame(list(enumerate(vocab, 1)), "id INT, symbol STRING")
+
+
 @query("bpe_first_merge", r"""
 WITH w AS (SELECT unnest(string_split_regex(trim(t), '\s+')) AS word FROM (SELECT """
        + sub(sub("text", V.ISOLATED_PUNCT, r" \1 "), r"\s+", " ") + r""" AS t FROM documents

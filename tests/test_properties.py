@@ -436,3 +436,23 @@ def test_cell_index_of_nothing(spark):
     units = NB.unit_rows(spark.createDataFrame([], "k long, v array<double>"), "k", "v")
     index = NB.CellIndex(units, 3)
     assert index.n == 0 and index.probes_for(0.9) == 1
+
+
+@pytest.mark.parametrize("candidates,segments", [(2048, 100_000), (7, 100_000), (40, 60), (5, 0)])
+def test_bpe_until_nothing_repeats(spark, candidates, segments):
+    """Whole runs: in one batch, in many, with stretches that go on, and without any."""
+    rng = random.Random(candidates + segments)
+    stems = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 6))) for _ in range(12)]
+    words = Counter("".join(rng.choice(stems) for _ in range(rng.randrange(1, 5))) for _ in range(150))
+    df = spark.createDataFrame([(" ".join(w for w, n in words.items() for _ in range(n)),)], "text string")
+    got = B.train_bpe(B.word_table(df), candidates=candidates, segments=segments, n_merges=60 if segments < 100 else 10_000)
+    want = greedy_bpe(words, 60 if segments < 100 else 10_000)
+    assert got == want and len(got) > 50
+
+
+def test_stretches_join_where_their_surroundings_meet(spark):
+    words = spark.createDataFrame([("xabcdefghijkabz", 3), ("abcab", 1)], "w string, freq long")
+    wrap = F.concat(F.lit(B.OPEN), F.array_join(F.split("w", ""), B.CLOSE + B.OPEN), F.lit(B.CLOSE)).alias("symbols")
+    found = sorted(("|".join(s), f) for s, f in B.pair_segments(words.select(wrap, "freq"), [("a", "b")], 10))
+    assert found == [("a|b|c|a|b", 1), ("x|a|b|c|d|", 3), ("|j|k|a|b|z", 3)]
+    assert B.pair_segments(words.select(wrap, "freq"), [("a", "b")], 2) is None
