@@ -386,6 +386,14 @@ def jaccard_components(
     return answered.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-@query("op13_jaccard_join")
+@query("op13_jaccard_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+p AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM p a JOIN p b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM c WHERE 100 * c >= 85 * (na + nb - c)),
+r(doc_id, part) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.part FROM r JOIN e ON e.a = r.doc_id)
+SELECT doc_id, any_value(len(g))::BIGINT AS n_shingles, min(part) AS component_id FROM s JOIN r USING (doc_id) GROUP BY doc_id""")
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
