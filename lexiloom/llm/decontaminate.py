@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import written_table
+from ..session import spread, written_table
 from .base import query, small_or_shuffled, table, text_or_empty
 
 #: Everything but letters, marks and digits separates words.
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 SHINGLE = 5
 SIMILARITY = 0.75
-#: Of 64 bits; shingle sets at the similarity differ in about 11 bits, 23 lie four deviations above.
+#: Of 64 bits; at the similarity the cosine is 0.857 at least, so sets differ in about 11 bits; 23 lie four deviations above.
 RADIUS = 23
 
 
@@ -42,10 +42,15 @@ def _weighted(words: str, size: str) -> Column:
 
 
 def _fingerprint(shingles: str) -> Column:
-    """SimHash: bit b is set when the weights of the hashes with bit b outweigh the others."""
+    """SimHash: bit b is set when the hashes with bit b outweigh the others.
+
+    A shingle counts with the root of its weight. Then the cosine of two sets is what they share over the
+    root of the product of their weights, whatever single shingles weigh, and never below
+    2 J / (1 + J) for a weighted Jaccard similarity J.
+    """
     return F.expr(
-        f"""aggregate(transform(sequence(0, 63), b -> if(aggregate({shingles}, 0L,
-        (a, x) -> a + if(shiftrightunsigned(x.h, b) & 1L = 1L, x.w, -x.w)) > 0L, shiftleft(1L, b), 0L)), 0L, (a, x) -> a | x)"""
+        f"""aggregate(transform(sequence(0, 63), b -> if(aggregate({shingles}, 0D,
+        (a, x) -> a + if(shiftrightunsigned(x.h, b) & 1L = 1L, sqrt(x.w), -sqrt(x.w))) > 0D, shiftleft(1L, b), 0L)), 0L, (a, x) -> a | x)"""
     )
 
 
@@ -94,40 +99,57 @@ def leaks(
     is the best, and equal similarities go to the earliest window. Rows that repeat an id give that id
     once; null ids are one id. Columns other than id and text are ignored.
     """
-    gram = f"least({SHINGLE}, size(i_words))"
-    known = items.select(F.col(item_col).alias("item"), pieces_of(text_or_empty(item_text_col)).alias("p"))
+    known = spread(items.select(F.col(item_col).alias("item"), pieces_of(text_or_empty(item_text_col)).alias("p")))
     known = known.select("item", F.expr("filter(p, x -> x != '')").alias("i_words")).filter("size(i_words) > 0")
-    known = known.withColumn("g", F.expr(gram)).withColumn("i_shingles", _weighted("i_words", "g"))
-    anchors = known.select(
-        "item", "g", F.size("i_words").alias("len"), F.expr("aggregate(i_shingles, 0L, (a, x) -> a + x.w)").alias("total"),
-        F.posexplode(F.expr("transform(i_shingles, x -> named_struct('s', x.s, 'w', x.w, 'places', filter(sequence(0, size(i_words) - g), "
-                            "i -> array_join(slice(i_words, i + 1, g), ' ') = x.s)))")).alias("k", "x"),
-    ).select("item", "g", "len", "total", "k", F.col("x.w").alias("w"), F.col("x.places").alias("places"), F.col("x.s").alias("i_gram"))
+    known = known.withColumn("g", F.expr(f"least({SHINGLE}, size(i_words))")).withColumn("i_shingles", _weighted("i_words", "g"))
+    known = known.withColumn("total", F.expr("aggregate(i_shingles, 0L, (a, x) -> a + x.w)")).withColumn("i_print", _fingerprint("i_shingles"))
+    known = written_table(known.withColumn("i_names", F.col("i_shingles.s")).drop("i_shingles"), "leak-items")
+    anchors = _anchors(known)
     sizes = [r.g for r in known.select("g").distinct().collect()]  # at most five numbers
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     texts = texts.select("id", F.xxhash64("text").alias("text_key"), "text")
     rows = texts.select("id", "text_key", pieces_of(F.col("text")).alias("words"))
-    hits = [_hits(rows, anchors, g, small) for g in sorted(sizes)]
-    if not hits:
-        hits = [_hits(rows, anchors, SHINGLE, small)]
+    hits = [_hits(rows, anchors, g, small) for g in sorted(sizes) or [SHINGLE]]
     all_hits = hits[0]
     for more in hits[1:]:
         all_hits = all_hits.unionByName(more)
-    found = _windows(texts, written_table(_starts(all_hits, similarity), "leak-starts").filter("size(starts) > 0"), small)
+    stretches = written_table(_stretches(all_hits, similarity), "leak-stretches")
+
+    def best(starts: DataFrame) -> DataFrame:
+        wanted = written_table(starts.filter("size(starts) > 0"), "leak-starts")
+        found = _similar(_windows(texts, wanted, small), known, similarity, radius, small)
+        return written_table(found, "leaks")
+
+    aligned = best(_aligned_starts(stretches, similarity))
+    solved = small_or_shuffled(aligned.select(F.col("id").alias("d_id"), F.col("item").alias("d_item")), small)
+    met = F.col("id").eqNullSafe(F.col("d_id")) & (F.col("item") == F.col("d_item"))
+    return aligned.unionByName(best(_other_starts(stretches.join(solved, met, "left_anti"), similarity)))
+
+
+def _anchors(known: DataFrame) -> DataFrame:
+    """(item, g, len, total, i_gram, k, w, places): every distinct shingle of an item, with its weight and its places.
+
+    ``k`` is the first place, which tells the shingles of an item apart.
+    """
+    grams = "transform(sequence(0, size(i_words) - g), i -> array_join(slice(i_words, i + 1, g), ' '))"
+    placed = known.select("item", "g", F.size("i_words").alias("len"), "total", F.posexplode(F.expr(grams)).alias("place", "i_gram"))
+    found = placed.groupBy("item", "g", "len", "total", "i_gram").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    return found.select("*", F.get("places", F.lit(0)).alias("k"), F.expr("cast(length(i_gram) - g + 1 AS bigint)").alias("w"))
+
+
+def _similar(found: DataFrame, known: DataFrame, similarity: float, radius: int, small: int) -> DataFrame:
+    """The most similar window of each (id, item) whose fingerprint meets the item's in a block, verified exactly."""
     found = found.withColumn("w_shingles", _weighted("window", "g")).withColumn("w_print", _fingerprint("w_shingles"))
-    marks = known.select("item", "i_shingles", _fingerprint("i_shingles").alias("i_print"))
-    marks = marks.select("*", F.inline(_block_values("i_print", radius)))
+    found = found.withColumn("w_names", F.col("w_shingles.s")).drop("window", "w_shingles")
+    marks = known.select("item", "i_names", "total", "i_print", F.inline(_block_values("i_print", radius)))
     probes = found.select("*", F.inline(_block_values("w_print", radius)))
     met = probes.join(small_or_shuffled(marks, small), ["item", "block", "value"])
     met = met.withColumn("hamming", F.expr("bit_count(w_print ^ i_print)")).filter(F.col("hamming") <= radius)
     met = met.filter(F.col("block") == _first_block("w_print", "i_print", radius))  # fingerprints that meet in several blocks are compared once
-    total = "aggregate({0}, 0L, (a, x) -> a + x.w)"
-    shared = "aggregate(filter(i_shingles, x -> array_contains(w_names, x.s)), 0L, (a, x) -> a + x.w)"
-    scored = met.withColumn("w_names", F.expr("w_shingles.s")).withColumn("shared", F.expr(shared)).withColumn(
-        "similarity",
-        F.expr(f"shared / ({total.format('i_shingles')} + {total.format('w_shingles')} - shared)"),
-    )
-    best = F.min(F.struct("shifted", (-F.col("similarity")).alias("s"), "start", "len", "hamming"))
+    weight = "aggregate({0}, 0L, (a, s) -> a + length(s) - g + 1)"
+    scored = met.withColumn("shared", F.expr(weight.format("array_intersect(w_names, i_names)")))
+    scored = scored.withColumn("similarity", F.expr(f"shared / (total + {weight.format('w_names')} - shared)"))
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", "len", "hamming"))
     kept = scored.filter(F.col("similarity") >= similarity).groupBy("id", "item").agg(best.alias("b"))
     return kept.select(
         "id", "item", F.col("b.start").cast("long").alias("start_word"), F.col("b.len").cast("long").alias("n_words"),
@@ -137,52 +159,64 @@ def leaks(
 
 def _hits(rows: DataFrame, anchors: DataFrame, g: int, small: int) -> DataFrame:
     """The places (``at`` counts words) where a text holds a ``g``-word shingle of an item, with its number and weight."""
-    pieces = rows.select("id", "text_key", "words", F.posexplode_outer("words").alias("at", "word"))
-    more = [F.get("words", F.col("at") + k) for k in range(1, g)]
-    grams = pieces.select("id", "text_key", "words", "at", F.xxhash64("word", *more).alias("gram"))
-    index = anchors.filter(F.col("g") == g).withColumn("gram", F.xxhash64(*[F.get(F.split("i_gram", " "), F.lit(k)) for k in range(g)]))
-    hits = grams.join(small_or_shuffled(index, small), "gram")
-    hits = hits.filter(F.expr("array_join(slice(words, at + 1, g), ' ')") == F.col("i_gram"))
     led = F.expr("cast(get(words, 0) = '' AS int)")
     n = F.expr("size(words) - cast(get(words, 0) = '' AS int) - cast(size(words) > 1 AND element_at(words, -1) = '' AS int)")
-    return hits.select(
-        "id", "text_key", "item", "g", "len", "total", "k", "w", "places", (F.col("at") - led).alias("at"), led.alias("led"), n.alias("n")
-    )
+    pieces = rows.select("id", "text_key", led.alias("led"), n.alias("n"), "words", F.posexplode("words").alias("at", "word"))
+    run = ["word", *[f"word{k}" for k in range(1, g)]]
+    more = [F.get("words", F.col("at") + k).alias(f"word{k}") for k in range(1, g)]
+    grams = pieces.select("id", "text_key", "led", "n", "at", "word", *more).withColumn("gram", F.xxhash64(*run))
+    index = anchors.filter(F.col("g") == g).withColumn("gram", F.xxhash64(*[F.get(F.split("i_gram", " "), F.lit(k)) for k in range(g)]))
+    hits = grams.join(small_or_shuffled(index, small), "gram").filter(F.concat_ws(" ", *run) == F.col("i_gram"))
+    return hits.select("id", "text_key", "item", "g", "len", "total", "k", "w", "places", (F.col("at") - F.col("led")).alias("at"), "led", "n")
+
+
+#: The last start of a window, and what the distinct hits of a window at ``s`` weigh.
+_LAST = "greatest(n - len, 0)"
+_WEIGHT = "aggregate(array_distinct(transform({0}, h -> named_struct('k', h.k, 'w', h.w))), 0L, (a, x) -> a + x.w)"
+_INSIDE = _WEIGHT.format("filter(hits, h -> h.at BETWEEN s AND s + len - g)")
+_KEYS = ["id", "text_key", "item", "g", "len", "led"]
+
 
+def _need(similarity: float) -> str:
+    return f"total * {similarity!r}D * (1 - 1e-9D)"
 
-def _starts(hits: DataFrame, similarity: float) -> DataFrame:
-    """(id, text_key, item, g, len, led, starts, aligned): the windows whose own hits weigh enough for the similarity.
+
+def _stretches(hits: DataFrame, similarity: float) -> DataFrame:
+    """Stretches of one item length whose windows may hold hits enough, with these hits and ``lines``, the starts
+    inside the stretch that line a hit up with a place of its shingle.
 
     A window shares with the item what its hits weigh, and the union is no lighter than the item. So
     ``similarity`` times the item's weight is a bound that every window above the similarity meets,
-    whichever diagonals its hits lie on. Starts are handled in stretches of one item length, with
-    the hits that their windows can hold. Those on the diagonal of a hit are ``aligned``.
+    whichever diagonals its hits lie on.
     """
-    last = "greatest(n - len, 0)"
-    stretches = f"explode(sequence(greatest(at - len + g, 0) div len, least(at, {last}) div len)) AS stretch"
-    placed = hits.select("*", F.expr(stretches))
-    keys = ["id", "text_key", "item", "g", "len", "total", "led", "n", "stretch"]
-    grouped = placed.groupBy(*keys).agg(F.collect_set(F.struct("at", "k", "w", "places")).alias("hits"))
-    weight = "aggregate(array_distinct(transform({0}, h -> named_struct('k', h.k, 'w', h.w))), 0L, (a, x) -> a + x.w)"
-    need = f"total * {similarity!r}D * (1 - 1e-9D)"
-    inside = weight.format("filter(hits, h -> h.at BETWEEN s AND s + len - g)")
-    heavy = grouped.filter(F.expr(f"{weight.format('hits')} >= {need}"))
+    spans = f"explode(sequence(greatest(at - len + g, 0) div len, least(at, {_LAST}) div len)) AS stretch"
+    placed = hits.select("*", F.expr(spans))
+    grouped = placed.groupBy(*_KEYS, "total", "n", "stretch").agg(F.collect_set(F.struct("at", "k", "w", "places")).alias("hits"))
+    lines = f"array_distinct(flatten(transform(hits, h -> transform(h.places, p -> greatest(least(h.at - p, {_LAST}), 0)))))"
+    heavy = grouped.filter(F.expr(f"{_WEIGHT.format('hits')} >= {_need(similarity)}"))
+    return heavy.withColumn("lines", F.expr(f"filter({lines}, s -> s div len = stretch)"))
+
+
+def _aligned_starts(stretches: DataFrame, similarity: float) -> DataFrame:
+    starts = F.expr(f"filter(lines, s -> {_INSIDE} >= {_need(similarity)})")
+    return stretches.select(*_KEYS, starts.alias("starts"))
+
+
+def _other_starts(stretches: DataFrame, similarity: float) -> DataFrame:
     first = "cast(stretch * len AS int)"
-    starts = F.expr(f"filter(sequence({first}, least({first} + len - 1, {last})), s -> {inside} >= {need})")
-    lines = F.expr(f"array_distinct(flatten(transform(hits, h -> transform(h.places, p -> greatest(least(h.at - p, {last}), 0)))))")
-    return heavy.select("id", "text_key", "item", "g", "len", "led", starts.alias("starts"), lines.alias("aligned"))
+    every = f"array_except(sequence({first}, least({first} + len - 1, {_LAST})), lines)"
+    return spread(stretches).select(*_KEYS, F.expr(f"filter({every}, s -> {_INSIDE} >= {_need(similarity)})").alias("starts"))
 
 
 def _windows(texts: DataFrame, starts: DataFrame, small: int) -> DataFrame:
     """The item-sized windows at the given starts; equal windows of an id count once."""
     wanted = small_or_shuffled(starts.withColumnsRenamed({"id": "s_id", "text_key": "s_key"}), small)
     met = texts.join(wanted, (F.col("text_key") == F.col("s_key")) & F.col("id").eqNullSafe(F.col("s_id")))
-    placed = met.select("id", "item", "g", "len", "led", "starts", "aligned", pieces_of(F.col("text")).alias("words"))
-    placed = placed.select("id", "item", "g", "len", "led", "words", "aligned", F.explode("starts").alias("start"))
+    placed = met.select("id", "item", "g", "len", "led", "starts", pieces_of(F.col("text")).alias("words"))
+    placed = placed.select("id", "item", "g", "len", "led", "words", F.explode("starts").alias("start"))
     n = F.expr("size(words) - led - cast(size(words) > 1 AND element_at(words, -1) = '' AS int)")
     cut = placed.withColumn("window", F.slice("words", F.col("start") + F.col("led") + 1, F.least("len", n)))
-    cut = cut.withColumn("shifted", ~F.array_contains("aligned", F.col("start")))
-    return cut.select("id", "item", "g", "len", "start", "shifted", "window").dropDuplicates(["id", "item", "start", "window"])
+    return spread(cut.select("id", "item", "g", "len", "start", "window").dropDuplicates(["id", "item", "start", "window"]))
 
 
 @query("op10_decontaminate")
