@@ -21,8 +21,8 @@ from .base import holds_at_most, query, table, text_or_empty
 from .url_rules import url_host
 
 #: A subtree is template when it stands on so many distinct pages of its host. On less than this share of
-#: them it is a narrow one, of a section or a language: all of these together must leave so much of a page's text.
-MIN_PAGES, MIN_SHARE, MIN_LEFT = 5, 0.5, 0.2
+#: them it is a narrow one, of a section or a language, and only containers without prose are deleted then.
+MIN_PAGES, MIN_SHARE = 5, 0.5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<|[^<]+", re.S)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -38,7 +38,10 @@ ENDS_P = BLOCK - {"br", "html", "body", "option", "title", "td", "th", "tr", "tb
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
             "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
 MAIN = {"article", "main"}
-NEVER = set("head script style noscript template iframe svg math object canvas nav aside form button select textarea menu dialog xmp".split())
+NEVER = set("head script style noscript template iframe svg math object canvas nav aside button select textarea menu dialog xmp".split())
+#: A form that holds one of these is a container of the page, any other is dropped.
+FRAMES_PAGE = set("article main section nav header footer aside h1".split())
+PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre article main".split())
 OUTSIDE = {"header", "footer"}  # of the page; inside an article a header holds its headline
 #: Containers that may be template inside an article; its paragraphs and headlines are never deleted.
 PARTS = set("div section ul ol dl table figure details footer header".split())
@@ -49,26 +52,51 @@ BOILERPLATE = set(
     "contentinfo".split()
 )
 PAGE_PARTS = {"header", "footer"}
+#: What a name may say beside a word of the list and still name boilerplate: its place and its kind of container.
+BESIDE = set(
+    "site page main top bottom left right primary secondary global local header footer user reader box bar block container "
+    "wrapper wrap inner outer holder list links link section area panel group row col column item items button buttons icon icons "
+    "post posts article articles story stories slot unit zone overlay form body content text title signup bubble toast js the".split()
+)
+OF_PAGE = set("site page main top bottom global primary wrapper wrap container inner bar block the".split())
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+
+
+def names_in(attributes: str) -> tuple[bool, bool, set[str]]:
+    """Whether a name in class, id or role stands for boilerplate as a whole, whether one stands for the head or foot
+    of a page, and all names in lower case.
+
+    ``cookie-box`` and ``relatedPosts`` are boilerplate; ``has-sidebar``, ``comments-open`` and ``share-price`` say something else.
+    """
+    names = {name for value in NAMES.findall(attributes) for name in value.strip("\"'").split()}
+    boilerplate = ends = False
+    for name in names:
+        words = {w for w in re.split(r"[^a-z]+", CAMEL.sub("-", name).lower()) if w}
+        boilerplate |= bool(words & BOILERPLATE) and words <= BOILERPLATE | BESIDE
+        ends |= bool(words & PAGE_PARTS) and words <= PAGE_PARTS | OF_PAGE
+    return boilerplate, ends, {n.lower() for n in names}
 
 
 class _Node:
-    __slots__ = ("tag", "drop", "main", "inside", "start", "parts", "holds")
+    __slots__ = ("tag", "drop", "named", "main", "inside", "start", "first", "parts", "holds", "frames", "prose")
 
-    def __init__(self, tag: str, drop: bool, main: bool, inside: bool, start: int):
-        self.tag, self.drop, self.main, self.inside, self.start = tag, drop, main, inside, start
+    def __init__(self, tag: str, drop: bool, named: bool, main: bool, inside: bool, start: int, first: int):
+        self.tag, self.drop, self.named, self.main, self.inside, self.start, self.first = tag, drop, named, main, inside, start, first
         self.parts: list[str] = []
-        self.holds = main
+        self.holds, self.frames, self.prose = main, tag in FRAMES_PAGE, tag in PROSE
 
 
-def read_page(html: str, template: frozenset | set = frozenset()) -> tuple[str, list[int]]:
+def read_page(html: str, template: frozenset | set = frozenset(), narrow: frozenset | set = frozenset()) -> tuple[str, list[int]]:
     """Main text, and the hashes of the subtrees that may be template.
 
-    Text inside article or main elements is the main text; without them, that of the whole body.
+    Text inside article or main elements is the main text; without them, that of the whole body. Names
+    of boilerplate drop an element, but never the body, a main element or what holds one. Of the ``narrow``
+    templates those without paragraphs or headlines are deleted.
     """
     out: list[str] = []
     mains: list[str] = []
     hashes: list[int] = []
-    root = _Node("#root", False, False, False, 0)
+    root = _Node("#root", False, False, False, False, 0, 0)
     stack = [root]
 
     def close() -> None:
@@ -76,18 +104,23 @@ def read_page(html: str, template: frozenset | set = frozenset()) -> tuple[str,
         parent = stack[-1]
         mark = xxhash.xxh64_intdigest(f"{node.tag}({','.join(node.parts)})") - (1 << 63)
         parent.parts.append(str(mark))
-        parent.holds |= node.holds
+        drop = node.drop or (node.named and not node.holds) or (node.tag == "form" and not node.frames)
         text = "".join(out[node.start :])
         may = not node.holds and (not node.inside or node.tag in PARTS) and node.tag not in ("html", "body")
-        if node.drop:
+        if drop:
             del out[node.start :]
+            del mains[node.first :]
         elif may and text.strip():
             hashes.append(mark)
-            if mark in template:
+            if mark in template or (mark in narrow and not node.prose):
                 del out[node.start :]
+        parent.frames |= node.frames
+        if not drop:
+            parent.holds |= node.holds
+            parent.prose |= node.prose
         if node.tag in BLOCK:
             out.append(" ")
-        if node.main and not node.inside and not node.drop:
+        if node.main and not node.inside and not drop:
             mains.append("".join(out[node.start :]))
 
     def close_open(ended: set[str], within: set[str]) -> None:
@@ -131,10 +164,11 @@ def read_page(html: str, template: frozenset | set = frozenset()) -> tuple[str,
             at = end.end() if end else len(html)
             continue
         inside = stack[-1].inside or stack[-1].main
-        names = {w for v in NAMES.findall(m[3]) for w in re.split(r"[^a-z0-9]+", v.lower())} if m[3] else set()
-        main = tag in MAIN or (tag not in NEVER and "main" in names and "role" in m[3].lower())
-        drop = tag in NEVER or bool(names & BOILERPLATE) or (not inside and (tag in OUTSIDE or bool(names & PAGE_PARTS)) and not main)
-        stack.append(_Node(tag, drop and not (main and not inside and not names & BOILERPLATE), main, inside, len(out)))
+        named, ends, names = names_in(m[3]) if m[3] else (False, False, set())
+        named &= tag not in ("html", "body", "main")
+        main = tag == "main" or (tag == "article" and not named) or (tag not in NEVER and "main" in names and "role" in m[3].lower())
+        outside = not inside and not main and (tag in OUTSIDE or ends) and tag not in ("html", "body")
+        stack.append(_Node(tag, tag in NEVER, named or outside, main, inside, len(out), len(mains)))
     while len(stack) > 1:
         close()
     return " ".join("".join([x + " " for x in mains] or out).split()), hashes
@@ -165,18 +199,6 @@ def site_templates(distinct: DataFrame, min_pages: int = MIN_PAGES, min_share: f
     return often.select("host", "mark", "n", (F.col("n") >= min_share * F.col("pages")).alias("wide"))
 
 
-def without_templates(html: str, wide: frozenset, narrow: frozenset) -> str:
-    """Main text without the wide templates, and without the narrow ones if they leave ``MIN_LEFT`` of it.
-
-    Pages that narrow templates would all but empty are near copies of each other.
-    """
-    kept = read_page(html, wide | narrow)[0]
-    if narrow:
-        whole = read_page(html, wide)[0]
-        return kept if len(kept) >= MIN_LEFT * len(whole) else whole
-    return kept
-
-
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", small: int = 10_000, **thresholds) -> DataFrame:
     """``pages`` with a column ``main_text`` (an input column of that name is replaced).
 
@@ -199,7 +221,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", sm
 
     def extract(html: pa.Array, wide: pa.Array, narrow: pa.Array) -> pa.Array:
         columns = zip(html.to_pylist(), wide.to_pylist(), narrow.to_pylist())
-        return pa.array([without_templates(h or "", frozenset(w or ()), frozenset(n or ())) for h, w, n in columns], pa.string())
+        return pa.array([read_page(h or "", frozenset(w or ()), frozenset(n or ()))[0] for h, w, n in columns], pa.string())
 
     return joined.select(
         *[F.col(c) for c in pages.columns if c != "main_text"],
