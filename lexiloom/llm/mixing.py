@@ -172,11 +172,12 @@ def mix_to_targets(
     cells = keyed.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"))
     cells = written_table(cells.agg(F.sum("__tokens").alias("tokens")), "cells")
     solve = _rake_small if holds_at_most(cells, driver_cells) else _rake_large
-    solved = solve(cells, targets, budget).withColumnsRenamed({d: f"c_{d}" for d in DIMENSIONS})
-    cond = (F.col("__source") == F.col("c_source")) & (F.col("__lang") == F.col("c_lang")) & (F.col("__topic") == F.col("c_topic"))
+    solved = solve(cells, targets, budget).withColumnsRenamed({c: f"__c_{c}" for c in (*DIMENSIONS, "weight", "probability")})
+    cond = (F.col("__source") == F.col("__c_source")) & (F.col("__lang") == F.col("__c_lang")) & (F.col("__topic") == F.col("__c_topic"))
     joined = keyed.join(small_or_shuffled(solved, driver_cells), cond, "left")
-    drawn = uniform_draw(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))) < F.col("probability")
-    mix = F.struct(F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), "weight", "probability", drawn.alias("sampled"))
+    drawn = uniform_draw(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))) < F.col("__c_probability")
+    solved_columns = [F.col(f"__c_{c}").alias(c) for c in ("weight", "probability")]
+    mix = F.struct(F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), *solved_columns, drawn.alias("sampled"))
     return joined.select(*[F.col(c) for c in docs.columns if c != "mix"], mix.alias("mix"))
 
 
