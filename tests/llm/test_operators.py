@@ -16,7 +16,7 @@ from tests.harness import canonical, duck
 SF_DIR = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i}" for i in range(3000))
 TEXTS = [None, "", " \t\n", "same text here", "same  text\nhere", "same text here", "one", "Ünïcode ☃ text", LONG, LONG + " tail"]
-CLASH = ["digest", "body", "salt", "n", "text_key", "words", "pos", "kept", "component_id", "mix", "judged", "main_text", "__host", "score"]
+CLASH = ["digest", "body", "salt", "n", "text_key", "words", "pos", "kept", "component_id", "mix", "judged", "main_text", "__host", "score", "weight", "probability"]
 
 
 @pytest.fixture(scope="module")
@@ -235,6 +235,23 @@ def test_decontamination_finds_every_window(spark):
         assert sorted((str(r.id), r.item) for r in again.collect()) == [("7", 0), ("7", 1), ("None", 0)]
 
 
+def test_decontamination_with_words_of_any_length(spark):
+    """Verdicts of brute force where single words hold much of an item's weight."""
+    rng = np.random.default_rng(5)
+    some = lambda n, k=5: ["".join(rng.choice(list("abcdefghijklmnop"), k)) for _ in range(n)]
+    items, rows = [], []
+    for item, (letters, size) in enumerate([(400, 540), (200, 290), (120, 190), (80, 150), (400, 40), (60, 20), (1, 30)] * 2):
+        words = some(size)
+        words[size // 2] = some(1, letters)[0]
+        items.append((item, " ".join(words)))
+        for at in (size // 2, size // 3, 2):  # the long word, and light ones, are exchanged
+            rows.append((len(rows), " ".join([*some(9), *words[:at], *some(1, letters if at == size // 2 else 5), *words[at + 1 :], *some(7)])))
+        rows.append((len(rows), " ".join([*words[: size // 2 - 6], *words[size // 2 - 5 :]])))
+    want = brute_leaks(rows, items, 0.75)
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(want) > 30 and {(r.id, r.item) for r in found.collect()} == set(want)
+
+
 def test_license_spans(spark, docs, none):
     rows = [(1, "Licensed under the Apache License, Version 2.0."), (2, "cc by CC-BY, all rights reserved"), (3, "all right reserved"),
             (4, "Licensed under the fine Apache License, Version 2.0."), (5, None), (6, "...")]
@@ -269,6 +286,27 @@ def test_html_text(spark):
     assert got[3] == "Site name 3 Own text 3" and got[8] == "" and html_text.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='no-sidebar single'><div><p>Some text</p></div></body>",
+        "<body class='sidebar'><article class='post has-sidebar'><p>Some text</p></article></body>",
+        "<body><main class='content comments-open'><p>Some text</p></main></body>",
+        "<body><main class='widget'><p>Some text</p></main></body>",
+        "<body><div class='widget'><article><p>Some text</p></article></div></body>",
+        "<body><article><section id='notice-period'>Some</section><p class='share-price'>text</p></article></body>",
+        "<body><article>Some <div class='related-work'>text</div><div class='related-posts'>no</div><div id='relatedPosts'>no</div></article></body>",
+        "<body><form id='aspnetForm'><header>no</header><div><p>Some text</p></div></form></body>",
+        "<body><article><p>Some text</p><form><p>Sign up</p></form></article><article class='comment'>no</article></body>",
+        "<body><aside><article>no</article></aside><article><p>Some text</p></article><div id='comments'><p>no</p></div></body>",
+        "<body><div class='post-header'>Some</div><p>text</p><div class='siteFooter'>no</div></body>",
+        "<body><div class='site-header'>no</div><div class=top-nav>no</div><div id=ad_slot-3>no</div><div>Some text</div></body>",
+    ],
+)
+def test_html_names_drop_no_ordinary_text(page):
+    assert html_text.read_page(page)[0] == "Some text"
+
+
 @pytest.mark.parametrize("small", [10_000, 0])
 def test_html_copies_are_one_page(spark, small):
     bare = "<body><div><p>First part of it.</p><p>Second part</p></div></body>"
