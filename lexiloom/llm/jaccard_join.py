@@ -99,16 +99,16 @@ def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
 
 
 _LANES = [f"p{k}" for k in range(LANES)]
-_DESCRIBED = "id long, n int, s1 long, s2 long, kept binary, single int, scan double, " + ", ".join(f"{p} long" for p in _LANES)
+_DESCRIBED = "id long, n int, s1 long, s2 long, kept binary, single int, " + ", ".join(f"{p} long" for p in _LANES)
 
 
-def _describer(size: int, percent: int, often, noise: float):
-    """Of each text: set size, 128-bit set hash, the prefix without shingles that no other set holds, how many of
-    them lie in the shorter prefix, what a scan of their lists costs, and the parities of ``LANES`` * 64 buckets."""
+def _describer(size: int, percent: int, often):
+    """Of each text: set size, 128-bit set hash, the prefix without shingles whose counter proves that no other set
+    holds them, how many of them lie in the shorter prefix, and the parities of ``LANES`` * 64 buckets."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ones, twos, kept, single, scan = [], [], [], [], [], []
+            sizes, ones, twos, kept, single = [], [], [], [], []
             lanes = np.zeros((batch.num_rows, LANES), np.int64)
             for i, s in enumerate(gram_sets(batch["text"], size)):
                 n = len(s)
@@ -121,16 +121,56 @@ def _describer(size: int, percent: int, often, noise: float):
                 twos.append(_sum(_mix(s * _SECOND)))
                 kept.append(s[order][shared].tobytes())
                 single.append(int(shared[:low].sum()))
-                scan.append(float(np.maximum(counts[order[:low]] - noise, 1).sum()))
                 bits = np.bincount((s & _U(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
                 lanes[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
-            columns = [pa.array(c, t) for c, t in zip((sizes, ones, twos, kept, single, scan), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.float64()))]
+            columns = [pa.array(c, t) for c, t in zip((sizes, ones, twos, kept, single), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32()))]
             columns = [batch["id"], *columns, *[pa.array(lanes[:, k].copy()) for k in range(LANES)]]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _DESCRIBED.split(", ")])
 
     return describe
 
 
+def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc, at) of every shingle kept of a set's prefix."""
+    for batch in batches:
+        kept = batch["kept"].cast(pa.large_binary())
+        sizes = np.array([len(k) // 8 for k in kept.to_pylist()], np.int64)
+        keys = np.frombuffer(b"".join(kept.to_pylist()), np.int64)
+        at = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        docs = np.repeat(batch["doc"].to_numpy(zero_copy_only=False), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs, pa.int64()), pa.array(at.astype(np.int32))], ["key", "doc", "at"])
+
+
+def shared_prefixes(sets: DataFrame) -> DataFrame:
+    """(doc, n, kept, single, scan): the prefixes without shingles that no other prefix holds.
+
+    Two sets that link share their first common shingles within both prefixes, so nothing else can
+    be met there. ``scan`` is what the lists of the shorter prefix hold. Sets without such shingles are left out.
+    """
+    posted = sets.select("doc", "kept").mapInArrow(_prefix_rows, "key long, doc long, at int")
+    shared = written_table(rows_by(posted, "key").filter("rows > 1"), "shared")
+    met = salted_join(posted, shared, ["key"], "doc", shared)
+    held = met.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "key", "rows"))).alias("held"))
+    found = held.join(sets.select("doc", "n", "single"), "doc")
+    short = "filter(held, x -> x.at < single)"
+    return found.select(
+        "doc", "n", F.col("held.key").alias("kept"), F.expr(f"size({short})").alias("single"),
+        F.expr(f"aggregate({short}, 0D, (a, x) -> a + x.rows)").alias("scan"),
+    )
+
+
+def distinct_lists(posted: DataFrame) -> DataFrame:
+    """(key, rows) of the lists in which pairs can meet; of lists with the same members one stands for all.
+
+    The shingles that a family of near copies shares have equal lists, and comparing them again finds nothing new.
+    """
+    marks = [F.bit_xor(F.xxhash64("doc", "side", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("side").alias("side"), *marks)
+    # Light sets meet under pairs, so a list of single shingles needs a heavy member.
+    lists = lists.filter("rows > 1 AND side < 2")
+    return lists.groupBy("rows", "x1", "x2").agg(F.min("key").alias("key")).select("key", "rows")
+
+
 def _poster(light: int, percent: int):
     """Postings (key, doc, n, side): side 0 under pairs, 1 heavy and 2 light under single shingles."""
     least = percent * (light + 1)  # 100 times the smallest size that links with a heavy set
@@ -150,8 +190,8 @@ def _poster(light: int, percent: int):
                 flat = [np.concatenate(c) if c else np.zeros(0, t) for c, t in ((keys, _U), (docs, np.int64), (sizes, np.int32), (sides, np.int8))]
                 return pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), *map(pa.array, flat[1:])], ["key", "doc", "n", "side"])
 
-            for doc, n, s, single in zip(*[batch[c].to_pylist() for c in ("doc", "n", "kept", "single")]):
-                shared = np.frombuffer(s, _U)
+            for doc, n, s, single in zip(batch["doc"].to_pylist(), batch["n"].to_pylist(), batch["kept"], batch["single"].to_pylist()):
+                shared = s.values.to_numpy().view(_U)
                 if n > light:
                     held += add(shared[:single], doc, n, 1)
                 else:
@@ -252,16 +292,15 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
 
 def jaccard_links(sets: DataFrame, rows: DataFrame, size: int, percent: int, light: int | None, small: int) -> DataFrame | None:
     """(doc, part) of every linked set of ``sets`` (distinct described sets with their ``doc``), or None."""
+    prefixes = written_table(shared_prefixes(sets.filter("n > 0")), "prefixes")
     if light is None:
-        kept = F.floor(F.octet_length("kept") / 8)
-        classed = sets.filter("n > 0").groupBy(F.floor(F.log(F.col("n").cast("double")) / LOG_STEP).alias("class"))
+        kept = F.size("kept")
+        classed = prefixes.groupBy(F.floor(F.log(F.col("n").cast("double")) / LOG_STEP).alias("class"))
         costs = classed.agg(F.sum(kept * (kept - 1) / 2).alias("pairs"), F.sum("scan").alias("scans"))
         light = light_boundary([tuple(r) for r in costs.collect()])  # a row per tenth of size
-    posted = sets.select("doc", "n", "kept", "single").mapInArrow(_poster(light, percent), "key long, doc long, n int, side byte")
+    posted = prefixes.select("doc", "n", "kept", "single").mapInArrow(_poster(light, percent), "key long, doc long, n int, side byte")
     posted = written_table(posted, "postings")
-    # Light sets meet under pairs, so a list of single shingles needs a heavy member.
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("side").alias("side")).filter("rows > 1 AND side < 2")
-    lists = written_table(lists.drop("side"), "lists")
+    lists = written_table(distinct_lists(posted), "lists")
     members = written_table(salted_join(posted, lists.select("key"), ["key"], "doc", lists, small=small), "members")
     pivots = members.groupBy("key").agg(F.min(F.struct("side", "n", "doc")).alias("pivot"))
     pivots = pivots.select("key", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
@@ -371,7 +410,7 @@ def jaccard_components(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     counts = shingle_counts(rows, size)
     often = docs.sparkSession.sparkContext.broadcast(counts)
-    described = written_table(rows.mapInArrow(_describer(size, percent, often, counts.sum() / BUCKETS), _DESCRIBED), "described")
+    described = written_table(rows.mapInArrow(_describer(size, percent, often), _DESCRIBED), "described")
     hashes = ["n", "s1", "s2"]
     sets = described.filter("n > 0 AND id IS NOT NULL").groupBy(*hashes).agg(F.min("id").alias("doc"), F.count(F.lit(1)).alias("rows"))
     sets = written_table(sets, "sets")
