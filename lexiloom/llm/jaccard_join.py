@@ -160,15 +160,18 @@ def shared_prefixes(sets: DataFrame) -> DataFrame:
 
 
 def distinct_lists(posted: DataFrame) -> DataFrame:
-    """(key, rows) of the lists in which pairs can meet; of lists with the same members one stands for all.
+    """(key, rows, pivot, pivot_n) of the lists in which pairs can meet; of lists with the same members one stands for all.
 
     The shingles that a family of near copies shares have equal lists, and comparing them again finds nothing new.
+    The pivot is the smallest member of the list's stronger side; equal lists have the same one.
     """
     marks = [F.bit_xor(F.xxhash64("doc", "side", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("side").alias("side"), *marks)
+    first = F.min(F.struct("side", "n", "doc")).alias("first")
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), first, *marks)
     # Light sets meet under pairs, so a list of single shingles needs a heavy member.
-    lists = lists.filter("rows > 1 AND side < 2")
-    return lists.groupBy("rows", "x1", "x2").agg(F.min("key").alias("key")).select("key", "rows")
+    lists = lists.filter("rows > 1 AND first.side < 2")
+    lists = lists.groupBy("rows", "x1", "x2").agg(F.min("key").alias("key"), F.min("first").alias("first"))
+    return lists.select("key", "rows", F.col("first.doc").alias("pivot"), F.col("first.n").alias("pivot_n"))
 
 
 def _poster(light: int, percent: int):
@@ -301,10 +304,9 @@ def jaccard_links(sets: DataFrame, rows: DataFrame, size: int, percent: int, lig
     posted = prefixes.select("doc", "n", "kept", "single").mapInArrow(_poster(light, percent), "key long, doc long, n int, side byte")
     posted = written_table(posted, "postings")
     lists = written_table(distinct_lists(posted), "lists")
-    members = written_table(salted_join(posted, lists.select("key"), ["key"], "doc", lists, small=small), "members")
-    pivots = members.groupBy("key").agg(F.min(F.struct("side", "n", "doc")).alias("pivot"))
-    pivots = pivots.select("key", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
-    stars = salted_join(members, pivots, ["key"], "doc", lists).filter("doc != pivot").filter(_fits(F.col("n"), F.col("pivot_n"), percent))
+    members = written_table(salted_join(posted, lists.drop("rows"), ["key"], "doc", lists, small=small), "members")
+    stars = members.filter("doc != pivot").filter(_fits(F.col("n"), F.col("pivot_n"), percent))
+    members = members.drop("pivot", "pivot_n")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return written_table(_confirmed(pairs, sets, rows, size, percent, small), "links")
