@@ -9,7 +9,8 @@ is the size at which the pairs to post and the lists to scan cost least in sum.
 
 Lists are not expanded into their pairs. Their members are first compared with pivots; what is still
 in several components is compared across components, where the parity of 512 shingle buckets bounds
-the symmetric difference from below. Links are confirmed on the full sets.
+the symmetric difference from below, and a pair is proposed only by the list of its first common
+shingles. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SHINGLE, PERCENT = 4, 85
 #: Counters of the sketch that orders shingles; sets whose scan pays are found at any number.
 BUCKETS = 1 << 20
 #: Longs of the parity bitmap, rows of a join key that are dealt to one task, members compared at once.
-LANES, HOT, BLOCK = 8, 10_000, 1000
+LANES, HOT, BLOCK = 8, 10_000, 4000
 #: Counters a shuffled row holds, and the logarithm of the step of the sizes whose costs are summed.
 WIDE, LOG_STEP = 64, float(np.log(1.1))
 #: Comparisons a list member may cost before another round of pivots is tried.
@@ -163,48 +164,54 @@ def distinct_lists(posted: DataFrame) -> DataFrame:
     """(key, rows, pivot, pivot_n) of the lists in which pairs can meet; of lists with the same members one stands for all.
 
     The shingles that a family of near copies shares have equal lists, and comparing them again finds nothing new.
-    The pivot is the smallest member of the list's stronger side; equal lists have the same one.
+    The pivot is the smallest member of the list's stronger side; equal lists have the same one. Its prefix
+    tells which of their keys comes first in the order of shingles; that one stands for the others.
     """
     marks = [F.bit_xor(F.xxhash64("doc", "side", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
-    first = F.min(F.struct("side", "n", "doc")).alias("first")
+    first = F.min(F.struct("side", "n", "doc", "at")).alias("first")
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), first, *marks)
     # Light sets meet under pairs, so a list of single shingles needs a heavy member.
     lists = lists.filter("rows > 1 AND first.side < 2")
-    lists = lists.groupBy("rows", "x1", "x2").agg(F.min("key").alias("key"), F.min("first").alias("first"))
+    lists = lists.groupBy("rows", "x1", "x2").agg(F.min_by("key", "first").alias("key"), F.min("first").alias("first"))
     return lists.select("key", "rows", F.col("first.doc").alias("pivot"), F.col("first.n").alias("pivot_n"))
 
 
 def _poster(light: int, percent: int):
-    """Postings (key, doc, n, side): side 0 under pairs, 1 heavy and 2 light under single shingles."""
+    """Postings (key, doc, n, side, at): side 0 under pairs, 1 heavy and 2 light under single shingles.
+
+    ``at`` holds the places of the key's shingles in the prefix, the first one in its upper half.
+    """
     least = percent * (light + 1)  # 100 times the smallest size that links with a heavy set
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, sizes, sides, held = [], [], [], [], 0
+            keys, docs, sizes, sides, places, held = [], [], [], [], [], 0
 
-            def add(key, doc, n, side):
+            def add(key, doc, n, side, at):
                 keys.append(key)
+                places.append(at)
                 docs.append(np.full(len(key), doc, np.int64))
                 sizes.append(np.full(len(key), n, np.int32))
                 sides.append(np.full(len(key), side, np.int8))
                 return len(key)
 
             def packed():
-                flat = [np.concatenate(c) if c else np.zeros(0, t) for c, t in ((keys, _U), (docs, np.int64), (sizes, np.int32), (sides, np.int8))]
-                return pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), *map(pa.array, flat[1:])], ["key", "doc", "n", "side"])
+                flat = [np.concatenate(c) if c else np.zeros(0, t) for c, t in ((keys, _U), (docs, np.int64), (sizes, np.int32), (sides, np.int8), (places, np.int64))]
+                return pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), *map(pa.array, flat[1:])], ["key", "doc", "n", "side", "at"])
 
             for doc, n, s, single in zip(batch["doc"].to_pylist(), batch["n"].to_pylist(), batch["kept"], batch["single"].to_pylist()):
                 shared = s.values.to_numpy().view(_U)
+                alone = np.arange(single, dtype=np.int64) << 32
                 if n > light:
-                    held += add(shared[:single], doc, n, 1)
+                    held += add(shared[:single], doc, n, 1, alone)
                 else:
                     i, j = np.triu_indices(len(shared), 1)
-                    held += add(_mix(shared[i] * _SECOND + _mix(shared[j])), doc, n, 0)
+                    held += add(_mix(shared[i] * _SECOND + _mix(shared[j])), doc, n, 0, (i << 32) + j)
                     if 100 * n >= least:
-                        held += add(shared[:single], doc, n, 2)
+                        held += add(shared[:single], doc, n, 2, alone)
                 if held > 1 << 17:
                     yield packed()
-                    keys, docs, sizes, sides, held = [], [], [], [], 0
+                    keys, docs, sizes, sides, places, held = [], [], [], [], [], 0
             yield packed()
 
     return post
@@ -301,7 +308,7 @@ def jaccard_links(sets: DataFrame, rows: DataFrame, size: int, percent: int, lig
         classed = prefixes.groupBy(F.floor(F.log(F.col("n").cast("double")) / LOG_STEP).alias("class"))
         costs = classed.agg(F.sum(kept * (kept - 1) / 2).alias("pairs"), F.sum("scan").alias("scans"))
         light = light_boundary([tuple(r) for r in costs.collect()])  # a row per tenth of size
-    posted = prefixes.select("doc", "n", "kept", "single").mapInArrow(_poster(light, percent), "key long, doc long, n int, side byte")
+    posted = prefixes.select("doc", "n", "kept", "single").mapInArrow(_poster(light, percent), "key long, doc long, n int, side byte, at long")
     posted = written_table(posted, "postings")
     lists = written_table(distinct_lists(posted), "lists")
     members = written_table(salted_join(posted, lists.drop("rows"), ["key"], "doc", lists, small=small), "members")
@@ -323,7 +330,7 @@ def jaccard_links(sets: DataFrame, rows: DataFrame, size: int, percent: int, lig
             break
         spent = totals["cross"]
         links = written_table(links.unionByName(confirmed(_pivot_pairs(rest, turn, percent))).distinct(), "links")
-    more = confirmed(_crossing(rest, sets, percent))
+    more = confirmed(_crossing(rest, sets, prefixes, percent))
     return components(links.unionByName(more)) if more.head(1) else parts
 
 
@@ -356,12 +363,15 @@ def _repeats(df: DataFrame, key: str) -> bool:
 
 
 def _open_members(members: DataFrame, parts: DataFrame) -> DataFrame | None:
-    """Members of the lists that lie in several components, with ``part``, ``rows`` and the list's largest component."""
+    """Members of the lists that lie in several components, with ``part``, the list's ``rows``, its largest component
+    and the ``minor`` rows outside of that."""
     placed = members.join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc"))
     placed = written_table(placed, "placed")
     shares = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("share"))
-    lists = shares.groupBy("key").agg(F.sum("share").alias("rows"), F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("share", "part")).alias("major"))
-    lists = written_table(lists.filter("parts > 1").select("key", "rows", "major"), "open")
+    largest = F.max(F.struct("share", "part")).alias("largest")
+    lists = shares.groupBy("key").agg(F.sum("share").alias("rows"), F.count(F.lit(1)).alias("parts"), largest)
+    lists = lists.filter("parts > 1").select("key", "rows", F.col("largest.part").alias("major"), F.expr("rows - largest.share").alias("minor"))
+    lists = written_table(lists, "open")
     if not lists.head(1):
         return None
     return written_table(salted_join(placed, lists, ["key"], "doc", lists), "rest")
@@ -377,23 +387,31 @@ def _pivot_pairs(rest: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.select(F.col("doc").alias("a"), F.col("pivot.doc").alias("b"))
 
 
-def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _crossing(rest: DataFrame, sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of one list and different components that may link.
 
     One of a pair lies outside the list's largest component. Both sides are dealt into blocks of about
-    ``BLOCK`` members, and a task compares two blocks at a time.
+    ``BLOCK`` members, and a task compares two blocks at a time. Of the lists that a pair shares, only that
+    of its first common shingles proposes it: both prefixes hold them, in the same order. An id of several
+    sets (``mixed``) has one prefix of them all, without that order, so each of its lists proposes it.
     """
-    rest = written_table(rest.join(sets.select("doc", *_LANES), "doc"), "rest")
-    minor = rest.filter("part != major")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    deal = lambda salt: F.pmod(F.xxhash64("doc", F.lit(salt)), blocks).cast("int")
-    every = lambda: F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = minor.select("key", deal("left").alias("i"), every().alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "side", "part", "major", *_LANES)])
-    right = rest.select("key", deal("right").alias("j"), every().alias("i"), *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "side", "part", *_LANES)])
+    described = sets.select("doc", "mixed", *_LANES).join(prefixes.select("doc", "kept"), "doc")
+    rest = written_table(rest.join(described, "doc"), "rest")
+    first, second = (F.expr(f"kept[cast({place} as int)]") for place in ("shiftrightunsigned(at, 32)", "at & 4294967295L"))
+    marked = rest.withColumn("mark", F.when(F.col("side") == 0, F.array(first, second)).otherwise(F.array(first)))
+    minor = marked.filter("part != major")
+    rows, columns = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("minor", "rows"))
+    deal = lambda blocks: F.pmod(F.xxhash64("doc", F.lit("block")), blocks).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    shown = ("doc", "n", "side", "part", "kept", "mixed", *_LANES)
+    left = minor.select("key", deal(rows).alias("i"), every(columns).alias("j"), *[F.col(c).alias(f"{c}_a") for c in (*shown, "mark", "major")])
+    right = rest.select("key", deal(columns).alias("j"), every(rows).alias("i"), *[F.col(c).alias(f"{c}_b") for c in shown])
     # Two members outside the largest component meet twice and count once; two light sets meet under pairs.
     once = (F.col("part_b") == F.col("major_a")) | (F.col("doc_a") < F.col("doc_b"))
-    met = left.join(right, ["key", "i", "j"]).filter((F.col("part_a") != F.col("part_b")) & once & (F.col("side_a") + F.col("side_b") < 4))
-    met = met.filter(_fits(F.col("n_a"), F.col("n_b"), percent) & _close("_a", "_b", percent))
+    met = left.join(right, ["key", "i", "j"])
+    leading = F.expr("slice(array_intersect(kept_a, kept_b), 1, size(mark_a)) = mark_a")
+    apart = (F.col("part_a") != F.col("part_b")) & once & (F.col("side_a") + F.col("side_b") < 4)
+    met = met.filter(apart & _fits(F.col("n_a"), F.col("n_b"), percent) & _close("_a", "_b", percent) & (F.col("mixed_a") | F.col("mixed_b") | leading))
     return met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 
 
@@ -419,7 +437,11 @@ def jaccard_components(
     firsts = small_or_shuffled(sets.select(F.col("doc").alias("id"), *hashes), small)
     distinct = described.join(firsts, ["id", *hashes]).withColumnRenamed("id", "doc")
     # Of sets with the same smallest id one stands for the document; its links are those of the id.
-    distinct = written_table(distinct.dropDuplicates(["doc", *hashes]) if _repeats(described, "id") else distinct, "distinct")
+    distinct = distinct.withColumn("mixed", F.lit(False))
+    if _repeats(described, "id"):
+        distinct = distinct.dropDuplicates(["doc", *hashes]).drop("mixed")
+        distinct = distinct.join(rows_by(distinct, "doc").select("doc", F.expr("rows > 1 AS mixed")), "doc")
+    distinct = written_table(distinct, "distinct")
     parts = jaccard_links(distinct, rows, size, percent, light, small)
     known = sets.join(parts, "doc", "left") if parts is not None else sets.withColumn("part", F.lit(None).cast("long"))
     known = written_table(known.select(*hashes, F.coalesce("part", "doc").alias("component_id"), "rows"), "known")

@@ -79,6 +79,33 @@ def test_one_id_with_two_texts(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
+@pytest.mark.parametrize("light", [0, 10**6])
+def test_crossing_proposes_each_linked_pair_once(spark, light):
+    """Copies around one text without a common pivot: their many common lists propose a pair only once."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(24):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(3)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    often = spark.sparkContext.broadcast(J.shingle_counts(docs, 4))
+    sets = docs.mapInArrow(J._describer(4, 85, often), J._DESCRIBED).withColumnRenamed("id", "doc").withColumn("mixed", F.lit(False))
+    prefixes = J.shared_prefixes(sets)
+    posted = prefixes.select("doc", "n", "kept", "single").mapInArrow(J._poster(light, 85), "key long, doc long, n int, side byte, at long")
+    members = J.salted_join(posted, J.distinct_lists(posted).select("key"), ["key"], "doc", J.rows_by(posted, "key"))
+    alone = spark.createDataFrame([], "doc long, part long")
+    rest = J._open_members(members, alone)
+    pairs = [(min(r.a, r.b), max(r.a, r.b)) for r in J._crossing(rest, sets, prefixes, 85).collect()]
+    assert len(pairs) == len(set(pairs))
+    texts = dict(rows)
+    linked = {(a, b) for a in texts for b in texts if a < b and 100 * len(shingles(texts[a]) & shingles(texts[b])) >= 85 * len(shingles(texts[a]) | shingles(texts[b]))}
+    different = {(a, b) for a, b in linked if shingles(texts[a]) != shingles(texts[b])}
+    assert different and different <= set(pairs)
+
+
 def test_boundary_is_the_cheapest():
     boundary = J.light_boundary([(0, 0.0, 5.0), (20, 10.0, 40.0), (40, 500.0, 90.0)])
     assert np.floor(np.log(boundary) / J.LOG_STEP) == 20 < np.floor(np.log(boundary + 1) / J.LOG_STEP)
