@@ -11,6 +11,8 @@ from ..functions.hashing import uniform_draw
 from ..operators import gates as G
 from ..operators import pairs as P
 from ..operators import profile as R
+from ..session import scratch_path
+from ..sources.observed import write_gated
 from .registry import Tables, query
 
 ACCENTED = "[À-ÿ]"
@@ -100,6 +102,15 @@ def retention_report(t: Tables):
     return G.retention_report(staged(t), by=["source", "lang"])
 
 
+@query("observed_totals", f"""
+SELECT count(*) AS n_read, count(*) FILTER (drop_reason IS NULL) AS n_kept, count(*) FILTER (drop_reason IS NOT NULL) AS n_dropped
+FROM ({STAGED_SQL})""")
+def observed_totals(t: Tables):
+    """Totals of the two-stage gate, observed while its rows are written."""
+    totals = write_gated(staged(t).select("doc_id", "text", "drop_reason"), scratch_path(t.spark, "gated"))
+    return t.spark.createDataFrame([totals[:3]], "n_read long, n_kept long, n_dropped long")
+
+
 @query("length_band", "SELECT doc_id, length(text)::INT AS n_out FROM documents WHERE length(text) >= 300 AND length(text) < 3000")
 def length_band(t: Tables):
     return G.length_band(t.documents).select("doc_id", F.length("text").alias("n_out"))
