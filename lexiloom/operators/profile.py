@@ -60,6 +60,22 @@ def quantile_vector(df: DataFrame, column: str, probs: Sequence[float], accuracy
     return df.agg(values.alias("q")).select(F.inline(F.arrays_zip(wanted.alias("prob"), F.col("q").alias("value"))))
 
 
+def quantile_sketches(df: DataFrame, column: str, by: Sequence[str] = (), k: int = 400) -> DataFrame:
+    """One mergeable sketch of a few kilobytes per group, to be stored; nulls don't count.
+
+    At ``k`` = 400 the rank of an answer is off by less than 0.01 of the rows in nearly all cases.
+    """
+    return df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(column).cast("double"), k).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n_values, prob, value) of stored sketches, merged per group; groups without values have no row."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    n = F.kll_sketch_get_n_double("sketch")
+    answers = [F.struct(F.lit(float(p)).alias("prob"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("value")) for p in probs]
+    return merged.withColumn("n_values", n).filter("n_values > 0").select(*by, "n_values", F.inline(F.array(*answers)))
+
+
 def token_loss_profile(
     df: DataFrame, min_freq: int = 15, top: int = 50, digits: int = 6, weight: str | None = None
 ) -> DataFrame:

@@ -228,6 +228,19 @@ def quantile_vector(t: Tables):
     return out.withColumn("value", F.round("value", 6))
 
 
+@query("sketch_quantiles", """
+SELECT unnest([0.25, 0.5, 0.75, 0.95])::DOUBLE AS prob, (SELECT count(value) FROM events) AS n_values, true AS within""")
+def sketch_quantiles(t: Tables):
+    """Sketches of the parts of the table, merged; ``within`` says that the rank is off by 0.02 at most."""
+    parts = t.events.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(16)))
+    answers = R.merged_quantiles(R.quantile_sketches(parts, "value", ["part"]), [0.25, 0.5, 0.75, 0.95])
+    checks = []
+    for prob, n, value in answers.select("prob", "n_values", "value").collect():  # four rows
+        near = (F.count_if(F.col("value") < value) <= (prob + 0.02) * n) & (F.count_if(F.col("value") <= value) >= (prob - 0.02) * n)
+        checks.append(F.struct(F.lit(prob).alias("prob"), F.lit(n).cast("long").alias("n_values"), near.alias("within")))
+    return t.events.agg(F.array(*checks).alias("checks")).select(F.inline("checks"))
+
+
 # ---- order, sample, set operations ---------------------------------------------------------------
 
 @query("topn", """
