@@ -52,3 +52,10 @@ def test_look_ups_cost_a_piece_and_not_the_batch(spark, made):
     out = list(made[0](iter([batch.slice(5)])))
     assert len(out) == 2 and out[-1][-1].as_py() == [(1 << 19) - 1, 1 << 19, (1 << 19) + 2]
     assert all(len(piece.values) <= AR.PIECE + 3 for piece in out)
+
+
+def test_truncation_needs_no_function_over_whole_texts(spark, made):
+    df = spark.createDataFrame([("one two three",), ("a",), ("a b",), ("a b  c",)], "text string")
+    out = K.truncate_by_span(df, 3, r"\w+|\W+")
+    assert sorted(r["text"] for r in out.collect()) == ["a b", "a b", "one two"]
+    assert not made
