@@ -158,8 +158,9 @@ SELECT CASE WHEN drop_reason IS NULL THEN 'clean' ELSE 'audit' END AS verdict, d
 def stream_gate_totals(t: Tables):
     """Running totals of the streamed gate after all that has arrived."""
     path = scratch_path(t.spark, "arriving")
-    J.write_jsonl(t.documents.repartition(4), path, "doc_id", "text")
-    arriving = ST.stream_jsonl(t.spark, path, "doc_id BIGINT, text STRING", max_files=2)
+    files, at_once = ST.arriving_files(t.documents)
+    J.write_jsonl(t.documents.repartition(files), path, "doc_id", "text")
+    arriving = ST.stream_jsonl(t.spark, path, "doc_id BIGINT, text STRING", max_files=at_once)
     gated = ST.stream_gate(arriving, lambda df: G.two_stage_gate(df, **GATE))
     return ST.run_totals(ST.running_totals(gated, "verdict", "drop_reason"), "gate-totals")
 
@@ -176,8 +177,9 @@ def stream_frames(t: Tables):
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"), F.posexplode(parts).alias("seq", "frame")
     )
     replayed = frames.filter(F.col("seq") % 7 == 0)
-    J.write_jsonl(frames.unionByName(replayed).repartition(4), path)
-    arriving = ST.stream_jsonl(t.spark, path, "request_id STRING, seq INT, frame STRING", max_files=2)
+    files, at_once = ST.arriving_files(t.conversations)
+    J.write_jsonl(frames.unionByName(replayed).repartition(files), path)
+    arriving = ST.stream_jsonl(t.spark, path, "request_id STRING, seq INT, frame STRING", max_files=at_once)
     out = ST.run_to_table(FR.assemble_stream(arriving, timeout_ms=None), "frames")
     return out.withColumn("answer", F.md5("answer"))
 

@@ -366,8 +366,9 @@ def completion_rate(t: Tables):
 SELECT CASE WHEN drop_reason IS NULL THEN 'clean' ELSE 'audit' END AS verdict, doc_id, drop_reason, md5(out) AS digest FROM ({STAGED_SQL})""")
 def stream_clean(t: Tables):
     path = scratch_path(t.spark, "arriving")
-    J.write_jsonl(t.documents.repartition(4), path, "doc_id", "text")
-    arriving = ST.stream_jsonl(t.spark, path, "doc_id BIGINT, text STRING", max_files=2)
+    files, at_once = ST.arriving_files(t.documents)
+    J.write_jsonl(t.documents.repartition(files), path, "doc_id", "text")
+    arriving = ST.stream_jsonl(t.spark, path, "doc_id BIGINT, text STRING", max_files=at_once)
     gated = ST.stream_gate(arriving, lambda df: G.two_stage_gate(df, **GATE))
     table = ST.run_to_table(gated, "stream-clean", partition_by="verdict")
     return table.select("verdict", "doc_id", "drop_reason", F.md5("text").alias("digest"))
@@ -400,6 +401,7 @@ def assemble_frames(t: Tables):
 @query("stream_counts", "SELECT event_type, user_id % 16 AS bucket, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_counts(t: Tables):
     path = scratch_path(t.spark, "events-arriving")
-    J.write_jsonl(t.events.select("event_type", (F.col("user_id") % 16).alias("bucket")).repartition(4), path)
-    arriving = ST.stream_jsonl(t.spark, path, "event_type STRING, bucket BIGINT", max_files=2)
+    files, at_once = ST.arriving_files(t.events)
+    J.write_jsonl(t.events.select("event_type", (F.col("user_id") % 16).alias("bucket")).repartition(files), path)
+    arriving = ST.stream_jsonl(t.spark, path, "event_type STRING, bucket BIGINT", max_files=at_once)
     return ST.run_totals(ST.running_totals(arriving, "event_type", "bucket"), "stream-counts")

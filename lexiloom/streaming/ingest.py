@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
+def arriving_files(table: DataFrame, triggers: int = 2) -> tuple[int, int]:
+    """(files, files of a trigger): as many as ``table`` has splits, and enough for all cores in each trigger."""
+    files = max(triggers * table.sparkSession.sparkContext.defaultParallelism, table.rdd.getNumPartitions())
+    return files, -(-files // triggers)
+
+
 def stream_jsonl(spark: SparkSession, path: str, schema: str, max_files: int = 64) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(path)
 

@@ -6,6 +6,9 @@ import numpy as np
 import pandas as pd
 
 from lexiloom.operators import vectors as VE
+from lexiloom.plans import QUERIES
+from lexiloom.plans.registry import Tables
+from lexiloom.sources import jsonl as J
 
 
 def block(first, n, width=8):
@@ -23,3 +26,13 @@ def test_products_of_two_blocks_are_held_in_part():
     best = np.argsort(-sims, axis=1, kind="stable")[:, :3] + 10_000
     assert found["src"].tolist() == np.repeat(left["id"], 3).tolist() and found["dst"].tolist() == best.ravel().tolist()
     assert peak < 6 * 8 * VE.SIMS
+
+
+def test_arriving_files_grow_with_the_table(spark, monkeypatch):
+    """Four files, and four tasks, used to hold any table."""
+    seen, write = [], J.write_jsonl
+    monkeypatch.setattr(J, "write_jsonl", lambda df, *args: seen.append(df.rdd.getNumPartitions()) or write(df, *args))
+    monkeypatch.setattr(Tables, "__getattr__", lambda t, name: t.spark.read.parquet(f"{t.sf_dir}/{name}.parquet").limit(40).repartition(37))
+    for name in ("stream_clean", "stream_gate_totals", "stream_frames"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 3 and all(n >= 37 for n in seen)
