@@ -43,9 +43,8 @@ x AS (SELECT doc_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embed
 a AS (SELECT doc_id, d, avg(x) AS x, count(*) AS n FROM x GROUP BY doc_id, d)
 SELECT doc_id, max(n) AS n_tokens, round(sum(x * d), 6) AS checksum, round(max(x), 6) AS top FROM a GROUP BY doc_id""")
 def mean_pool(t: Tables):
-    tokens = doc_words(t).select("doc_id", F.explode("w").alias("word")).select(
-        "doc_id", (md5_int(F.col("word")) % vector_count(t)).alias("vec_id")
-    )
+    words = doc_words(t).select("doc_id", "w", vector_count(t).alias("n"))
+    tokens = words.select("doc_id", F.transform("w", lambda word: md5_int(word) % F.col("n")).alias("vec_id"))
     out = VE.mean_pool(tokens, t.embeddings.select("vec_id", VEC), "doc_id", "vec_id")
     weighted = AR.total(F.transform(VEC, lambda x, i: x * (i + 1)))
     return out.select("doc_id", "n_tokens", F.round(weighted, 6).alias("checksum"), F.round(F.array_max(VEC), 6).alias("top"))

@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from lexiloom.operators import vectors as VE
 from lexiloom.plans import QUERIES
@@ -36,3 +37,24 @@ def test_arriving_files_grow_with_the_table(spark, monkeypatch):
     for name in ("stream_clean", "stream_gate_totals", "stream_frames"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
     assert len(seen) == 3 and all(n >= 37 for n in seen)
+
+
+def test_pooled_vectors_are_not_shuffled(spark, monkeypatch):
+    """Every (document, token) pair used to take its whole vector through a shuffle."""
+    rows = [(d, t) for d in range(30) for t in range(d % 7)] + [(1, 99), (40, 99), (2, None)]
+    tokens = spark.createDataFrame(rows, "doc int, tok int")
+    table = spark.createDataFrame([(t, [float(t), 1.0]) for t in range(6)] + [(3, [5.0, 0.0])], "tok int, v array<float>")
+    blocks = VE.vector_blocks
+    monkeypatch.setattr(VE, "vector_blocks", lambda *a: blocks(*a, values=4))  # several blocks
+    want = {}
+    for doc, tok in rows:
+        found = [v for t, v in [(r["tok"], r["v"]) for r in table.collect()] if t == tok]
+        want.setdefault(doc, []).extend(found)
+    want = {doc: (len(v), [sum(x) / len(v) for x in zip(*v)]) for doc, v in want.items() if v}
+    lists = tokens.groupBy("doc").agg(F.collect_list("tok").alias("tok"))
+    for given in (tokens, lists):
+        out = VE.mean_pool(given, table, "doc", "tok", "v", chained=2)
+        got = {r["doc"]: (r["n_tokens"], r["v"]) for r in out.collect()}
+        assert got.keys() == want.keys()
+        assert all(got[d][0] == want[d][0] and np.allclose(got[d][1], want[d][1]) for d in want)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
