@@ -4,12 +4,14 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lexiloom.operators import graph as GR
 from lexiloom.operators import vectors as VE
 from lexiloom.plans import QUERIES
 from lexiloom.plans.registry import Tables
+from lexiloom.session import written_table
 from lexiloom.sources import jsonl as J
 
 
@@ -77,3 +79,10 @@ def test_links_stay_in_place_between_steps(spark, monkeypatch):
     assert len(steps) == 3 and not any("Exchange hashpartitioning(src#" in line and "share" in line for p in steps for line in p.split("\n"))
     assert all("Bucketed: true" in p for p in steps)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lexiloom_links")]
+
+
+def test_row_groups_can_be_small(spark):
+    """A reader decodes up to 4096 rows of a row group at once, which whole documents as arrays make heavy."""
+    rows = spark.range(3000, numPartitions=1).select(F.transform(F.sequence(F.lit(1), F.lit(700)), lambda i: F.xxhash64("id", i)).alias("x"))
+    files = written_table(rows, "groups", 1).inputFiles()
+    assert pq.ParquetFile(files[0].removeprefix("file://")).metadata.row_group(0).num_rows < 1000
