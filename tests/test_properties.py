@@ -450,6 +450,48 @@ def test_bpe_until_nothing_repeats(spark, candidates, segments):
     assert got == want and len(got) > 50
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdef"])
+def test_changes_of_a_merge_are_those_of_a_new_count(letters):
+    rng = random.Random(len(letters))
+    words = [[rng.randrange(len(letters)) for _ in range(rng.randrange(1, 12))] for _ in range(200)]
+    freqs = [rng.randrange(1, 9) for _ in words]
+    runs = B.SymbolRuns(np.concatenate(words), np.array([len(w) for w in words]), np.array(freqs))
+    for whole, (left, right) in enumerate([(0, 0), (1, 0), (len(letters), 1), (0, 1), (len(letters) + 1, len(letters) + 1)], len(letters)):
+        known = Counter(dict(zip(*[a.tolist() for a in runs.pairs()])))
+        for code, d in zip(*runs.merge(left, right, whole, changes=True)):
+            known[int(code)] += int(d)
+        words = [_joined(w, left, right, whole) for w in words]
+        want = Counter()
+        for w, f in zip(words, freqs):
+            for a, b in zip(w, w[1:]):
+                want[(a << 32) | b] += f
+        assert +known == +want == Counter(dict(zip(*[a.tolist() for a in runs.pairs()])))
+    ids, lengths, kept = runs.words()
+    assert ids.tolist() == [i for w in words if len(w) > 1 for i in w]
+    assert list(zip(lengths, kept)) == [(len(w), f) for w, f in zip(words, freqs) if len(w) > 1]
+
+
+def _joined(word, left, right, whole):
+    out, i = [], 0
+    while i < len(word):
+        hit = word[i : i + 2] == [left, right]
+        out.append(whole if hit else word[i])
+        i += 1 + hit
+    return out
+
+
+def test_bpe_takes_many_merges_a_round(spark, monkeypatch):
+    """Few of the words fit on the driver, and nearly all pairs share symbols."""
+    rng = random.Random(3)
+    stems = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 5))) for _ in range(30)]
+    words = Counter("".join(rng.choice(stems) for _ in range(rng.randrange(1, 6))) for _ in range(3000))
+    df = spark.createDataFrame([(" ".join(w for w, n in words.items() for _ in range(n)),)], "text string")
+    rounds, real = [], B.proven_steps
+    monkeypatch.setattr(B, "proven_steps", lambda *args: rounds.append(1) or real(*args))
+    assert B.train_bpe(B.word_table(df), 200, segments=500) == greedy_bpe(words, 200)
+    assert len(rounds) <= 20
+
+
 def test_stretches_join_where_their_surroundings_meet(spark):
     words = spark.createDataFrame([("xabcdefghijkabz", 3), ("abcab", 1)], "w string, freq long")
     wrap = F.concat(F.lit(B.OPEN), F.array_join(F.split("w", ""), B.CLOSE + B.OPEN), F.lit(B.CLOSE)).alias("symbols")
