@@ -492,6 +492,18 @@ def test_bpe_takes_many_merges_a_round(spark, monkeypatch):
     assert len(rounds) <= 20
 
 
+def test_encoder_pieces_hold_every_text(spark, monkeypatch):
+    """Texts pass in pieces: nulls, empty texts and texts longer than a piece keep their places."""
+    monkeypatch.setattr(B, "PIECE", 12)
+    texts = ["low lower", None, "", "lowest low low low new", "x", " ", "new low", None]
+    merges = [("l", "o"), ("lo", "w"), ("▁", "low"), ("e", "r")]
+    vocab = ["▁low", "er", "▁", "n", "e", "w", "s", "t"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = dict(df.select("i", B.encoder(merges, vocab)("text")).collect())
+    words = {"low": [1], "lower": [1, 2], "lowest": [1, 5, 7, 8], "new": [3, 4, 5, 6], "x": [3, 2], "": []}
+    assert got == {i: None if t is None else [k for w in t.split(" ") for k in words[w]] for i, t in enumerate(texts)}
+
+
 def test_stretches_join_where_their_surroundings_meet(spark):
     words = spark.createDataFrame([("xabcdefghijkabz", 3), ("abcab", 1)], "w string, freq long")
     wrap = F.concat(F.lit(B.OPEN), F.array_join(F.split("w", ""), B.CLOSE + B.OPEN), F.lit(B.CLOSE)).alias("symbols")
