@@ -504,6 +504,34 @@ def test_encoder_pieces_hold_every_text(spark, monkeypatch):
     assert got == {i: None if t is None else [k for w in t.split(" ") for k in words[w]] for i, t in enumerate(texts)}
 
 
+def test_slot_minima_at_the_borders_of_the_prime():
+    """Sums that fold to 0, to the prime itself and to just below its double."""
+    from lexiloom.operators import dedup as D
+
+    rng = np.random.default_rng(4)
+    edge = [0, 1, 2, D.PRIME // 2, D.PRIME - 2, D.PRIME - 1]
+    a = np.array([1, 2, D.PRIME - 2, D.PRIME - 1, *rng.integers(1, D.PRIME, 40)])
+    b = np.array([*rng.integers(0, D.PRIME, 40), 0, 1, D.PRIME - 2, D.PRIME - 1])
+    for hashes in (*([h] for h in edge), edge, rng.integers(0, D.PRIME, 700).tolist()):
+        want = [min((int(x) * int(h) + int(y)) % D.PRIME for h in hashes) for x, y in zip(a, b)]
+        assert D.slot_minima(a, b, np.array(hashes, np.int64)).tolist() == want
+
+
+def test_signatures_are_those_of_words_joined_by_spaces(spark):
+    import hashlib
+
+    from lexiloom.operators import dedup as D
+
+    texts = ["één twee één twee één twee drie", None, "kort", "eins zwei drei vier fünf sechs", "a b c d e"]
+    df = spark.createDataFrame([(i, t.split(" ") if t else None) for i, t in enumerate(texts)], "i int, w array<string>").coalesce(1)
+    a, b = (v.tolist() for v in D.hash_family(20, 7))
+    for i, sig in df.select("i", D.minhash(20, 7, 5)("w")).filter("i > 0 OR i = 0").collect():
+        words = (texts[i] or "").split(" ")
+        grams = {" ".join(words[k : k + 5]) for k in range(len(words) - 4)}
+        hashes = [int.from_bytes(hashlib.md5(g.encode()).digest()[:4], "big") % D.PRIME for g in grams]
+        assert sig == ([min((x * h + y) % D.PRIME for h in hashes) for x, y in zip(a, b)] if grams else None)
+
+
 def test_stretches_join_where_their_surroundings_meet(spark):
     words = spark.createDataFrame([("xabcdefghijkabz", 3), ("abcab", 1)], "w string, freq long")
     wrap = F.concat(F.lit(B.OPEN), F.array_join(F.split("w", ""), B.CLOSE + B.OPEN), F.lit(B.CLOSE)).alias("symbols")
