@@ -1,5 +1,10 @@
 """Exact n-gram Jaccard join by size-aware lists: subsets for light sets, inverted lists for heavy ones.
 
+Lists of shingles are short only while the sketch below tells rare shingles from others. Sets of sizes
+for which it makes the lists longer than that post other subsets: the hash cuts all shingles into more
+parts than two linked sets can differ in, so linked sets hold the same shingles in one part, which is
+a key of about six shingles at any size of the table. ``parted_boundary`` draws the line by cost.
+
 Shingles have one global order, rare ones first by a counting sketch. Linked sets share at least
 ``need(n)`` = ceil(t * n) of their n shingles each, so their first c common shingles lie among the
 first n - need(n) + c of both. Light sets post every pair (c = 2) of that prefix: light sets that link
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import written_table
@@ -100,16 +105,17 @@ def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
 
 
 _LANES = [f"p{k}" for k in range(LANES)]
-_DESCRIBED = "id long, n int, s1 long, s2 long, kept binary, single int, " + ", ".join(f"{p} long" for p in _LANES)
+_DESCRIBED = "id long, n int, s1 long, s2 long, kept binary, single int, met long, " + ", ".join(f"{p} long" for p in _LANES)
 
 
 def _describer(size: int, percent: int, often):
     """Of each text: set size, 128-bit set hash, the prefix without shingles whose counter proves that no other set
-    holds them, how many of them lie in the shorter prefix, and the parities of ``LANES`` * 64 buckets."""
+    holds them, how many of them lie in the shorter prefix, what their lists hold at the most by the counters, and the
+    parities of ``LANES`` * 64 buckets."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ones, twos, kept, single = [], [], [], [], []
+            sizes, ones, twos, kept, single, met = [], [], [], [], [], []
             lanes = np.zeros((batch.num_rows, LANES), np.int64)
             for i, s in enumerate(gram_sets(batch["text"], size)):
                 n = len(s)
@@ -122,9 +128,10 @@ def _describer(size: int, percent: int, often):
                 twos.append(_sum(_mix(s * _SECOND)))
                 kept.append(s[order][shared].tobytes())
                 single.append(int(shared[:low].sum()))
+                met.append(int(counts[order[:low]][shared[:low]].sum()))
                 bits = np.bincount((s & _U(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
                 lanes[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
-            columns = [pa.array(c, t) for c, t in zip((sizes, ones, twos, kept, single), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32()))]
+            columns = [pa.array(c, t) for c, t in zip((sizes, ones, twos, kept, single, met), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()))]
             columns = [batch["id"], *columns, *[pa.array(lanes[:, k].copy()) for k in range(LANES)]]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _DESCRIBED.split(", ")])
 
@@ -217,6 +224,83 @@ def _poster(light: int, percent: int):
     return post
 
 
+def part_classes(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each class of sizes its largest size, its number of parts and how many of them a set may have empty.
+
+    Sets that link lie in the same class or in two that follow each other. Two linked sets of the class
+    and the one below differ in at most D shingles, so of D + 1 + E parts they share E + 1: one that is
+    not empty, or both have more than E empty parts. No parts: sets of the class link only if equal.
+    """
+    tops = [1]
+    while len(tops) < 3 or tops[-2] < largest:  # a set posts the parts of the class above its own too
+        tops.append(max(tops[-1] + 1, 100 * tops[-1] // percent))
+    parts, empty = [], []
+    for c, top in enumerate(tops):
+        differ = 2 * top * (100 - percent) // (100 + percent)
+        least = tops[c - 2] + 1 if c > 1 else 1
+        mean = (differ + 1) * np.exp(-least / (differ + 1))
+        empty.append(int(np.ceil(mean + 2 * mean**0.5)))
+        parts.append(differ + 1 + empty[-1] if differ else 0)
+    return np.array(tops), np.array(parts), np.array(empty)
+
+
+def part_keys(s: np.ndarray, classes: tuple[np.ndarray, np.ndarray, np.ndarray], parted: int) -> np.ndarray:
+    """The keys of a sorted set's parts, of its own class (if it may be above ``parted``) and the one above."""
+    tops, parts, empty = classes
+    own = int(np.searchsorted(tops, len(s)))
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(s)])
+    keys = []
+    for c in (own, own + 1):
+        if parts[c] and tops[c] > parted:
+            # A part is a range of hashes, so it is a run of the sorted set.
+            part = (s >> _U(32)) * _U(parts[c]) >> _U(32)
+            bounds = np.searchsorted(part, np.arange(parts[c] + 1).astype(_U))
+            held = bounds[1:] > bounds[:-1]
+            posted = np.arange(parts[c]) if parts[c] - held.sum() > empty[c] else np.flatnonzero(held)
+            inside = sums[bounds[posted + 1]] - sums[bounds[posted]]
+            keys.append(_mix(inside + _mix((_U(c + 1) << _U(40)) + posted.astype(_U))))
+    return np.concatenate(keys) if keys else np.zeros(0, _U)
+
+
+def _part_poster(size: int, percent: int, parted: int, largest: int):
+    """Postings (key, s1): the parts of each text's set, which its hash stands for."""
+    least = percent * (parted + 1)  # 100 times the smallest size that links with a parted set
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = part_classes(largest, percent)
+        for batch in batches:
+            keys, ones, held = [], [], 0
+
+            def packed():
+                columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (keys, ones)]
+                return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["key", "s1"])
+
+            for s in gram_sets(batch["text"], size):
+                if 100 * len(s) >= least and 0 < len(s) <= largest:
+                    keys.append(part_keys(s, classes, parted))
+                    ones.append(np.full(len(keys[-1]), _sum(s), np.int64))
+                    held += len(keys[-1])
+                if held > 1 << 17:
+                    yield packed()
+                    keys, ones, held = [], [], 0
+            yield packed()
+
+    return post
+
+
+def part_lists(posted: DataFrame) -> DataFrame:
+    """(key, rows, pivot, s1): every other member of the lists of several sets; lists with the same members are one.
+
+    Postings are shuffled once. Copies of a text that were posted apart have one set hash and count once.
+    """
+    ordered, whole = Window.partitionBy("key").orderBy("s1"), Window.partitionBy("key")
+    near = posted.withColumns({"before": F.lag("s1").over(ordered), "after": F.lead("s1").over(ordered)})
+    near = near.filter("(before IS NOT NULL OR after IS NOT NULL) AND NOT s1 <=> before")
+    lists = near.withColumns({"rows": F.count(F.lit(1)).over(whole), "pivot": F.min("s1").over(whole), "mark": F.bit_xor(F.xxhash64("s1")).over(whole)})
+    lists = lists.filter("rows > 1 AND s1 != pivot")
+    return lists.select(F.xxhash64("mark", "rows", "pivot").alias("key"), "rows", "pivot", "s1").distinct()
+
+
 def _setter(size: int):
     """The shingle sets of the texts whose set hash is the one asked for (``of``)."""
 
@@ -300,8 +384,37 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def jaccard_links(sets: DataFrame, rows: DataFrame, size: int, percent: int, light: int | None, small: int) -> DataFrame | None:
+def parted_boundary(sets: DataFrame, percent: int) -> int:
+    """The largest size whose sets meet in lists of shingles; larger ones meet in parts, at the least sum of rows.
+
+    What a list holds is bounded by the sketch, so with full counters all sets meet in parts.
+    """
+    classed = sets.filter("n > 0").groupBy(F.floor(F.log(F.col("n").cast("double")) / LOG_STEP).alias("class"))
+    posts = 4 * (100 - percent) / (100 + percent) / (percent / 100)  # of a shingle, in two classes
+    costs = classed.agg(F.sum("met").cast("double").alias("lists"), (F.sum("n") * F.lit(posts)).alias("parts"))
+    return light_boundary([tuple(r) for r in costs.collect()])  # a row per tenth of size
+
+
+def jaccard_links(
+    sets: DataFrame, rows: DataFrame, size: int, percent: int, light: int | None, small: int, parted: int | None = None
+) -> DataFrame | None:
     """(doc, part) of every linked set of ``sets`` (distinct described sets with their ``doc``), or None."""
+    largest = sets.agg(F.max("n")).first()[0] or 0
+    if parted is None:
+        parted = parted_boundary(sets, percent) if light is None else largest
+    found = []
+    if parted > 0:
+        found.append(_linked_in_lists(sets.filter(F.col("n") <= parted), rows, size, percent, light, small))
+    if parted < largest:
+        near = sets.filter(100 * F.col("n") >= percent * (parted + 1))
+        found.append(_linked_in_parts(near, rows, size, percent, parted, largest, small))
+    if len(found) < 2:
+        return found[0][1] if found else None
+    return components(found[0][0].unionByName(found[1][0]))
+
+
+def _linked_in_lists(sets: DataFrame, rows: DataFrame, size: int, percent: int, light: int | None, small: int) -> tuple[DataFrame, DataFrame]:
+    """Links and (doc, part) of sets that meet under pairs of prefix shingles or under single ones."""
     prefixes = written_table(shared_prefixes(sets.filter("n > 0")), "prefixes")
     if light is None:
         kept = F.size("kept")
@@ -313,25 +426,57 @@ def jaccard_links(sets: DataFrame, rows: DataFrame, size: int, percent: int, lig
     lists = written_table(distinct_lists(posted), "lists")
     members = written_table(salted_join(posted, lists.drop("rows"), ["key"], "doc", lists, small=small), "members")
     stars = members.filter("doc != pivot").filter(_fits(F.col("n"), F.col("pivot_n"), percent))
-    members = members.drop("pivot", "pivot_n")
+    stars = stars.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
+    return _settled(members.drop("pivot", "pivot_n"), stars, sets, prefixes, rows, size, percent, small)
+
+
+def _linked_in_parts(
+    sets: DataFrame, rows: DataFrame, size: int, percent: int, parted: int, largest: int, small: int
+) -> tuple[DataFrame, DataFrame]:
+    """Links and (doc, part) of sets that hold the same shingles in a part; a larger one of a pair is above ``parted``."""
+    firsts = sets.select(F.col("doc").alias("id"))
+    # Copies are told apart by their set's hash; where their ids can be broadcast they aren't posted.
+    single = rows.join(F.broadcast(firsts), "id", "left_semi") if holds_at_most(firsts, small) else rows
+    posted = single.select("text").mapInArrow(_part_poster(size, percent, parted, largest), "key long, s1 long")
+    lists = written_table(part_lists(posted), "partlists")
+    named = small_or_shuffled(sets.select("s1", "doc", "n"), small)
+    hub = sets.select(F.col("s1").alias("pivot"), F.col("doc").alias("b"), F.col("n").alias("m"))
+    # A list of two sets is settled by its star, so only longer ones are kept.
+    stars = lists.select("pivot", "s1").distinct().join(named, "s1")
+    stars = salted_join(stars, hub, ["pivot"], "s1", rows_by(stars, "pivot"), small=small).filter("doc != b")
+    stars = stars.filter(_fits(F.col("n"), F.col("m"), percent)).select(F.col("doc").alias("a"), "b")
+    longer = lists.filter("rows > 2")
+    members = longer.select("key", "s1").unionByName(longer.select("key", F.col("pivot").alias("s1")).distinct())
+    members = members.join(named, "s1").select("key", "doc", "n", F.lit(0).cast("byte").alias("side"), F.lit(0).cast("long").alias("at"))
+    # Parts have no places in a prefix, so any list may propose a pair.
+    loose = sets.withColumn("mixed", F.lit(True))
+    prefixes = sets.select("doc", F.array().cast("array<long>").alias("kept")).distinct()
+    return _settled(written_table(members, "members"), stars, loose, prefixes, rows, size, percent, small)
+
+
+def _settled(
+    members: DataFrame, stars: DataFrame, sets: DataFrame, prefixes: DataFrame, rows: DataFrame, size: int, percent: int, small: int
+) -> tuple[DataFrame, DataFrame]:
+    """Links and (doc, part) after all members of a list were compared that the stars (a, b) and pivots left apart."""
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return written_table(_confirmed(pairs, sets, rows, size, percent, small), "links")
 
-    links = confirmed(stars.select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
+    links = confirmed(stars)
     spent = None
     for turn in range(1, 100):
         parts = components(links)
         rest = _open_members(members, parts)
         if rest is None:
-            return parts
+            return links, parts
         totals = rest.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("part") != F.col("major"), F.col("rows"))).alias("cross")).first()
         if (totals["cross"] or 0) <= CROSS * totals["rows"] or (spent is not None and totals["cross"] > 0.7 * spent):
             break
         spent = totals["cross"]
         links = written_table(links.unionByName(confirmed(_pivot_pairs(rest, turn, percent))).distinct(), "links")
     more = confirmed(_crossing(rest, sets, prefixes, percent))
-    return components(links.unionByName(more)) if more.head(1) else parts
+    links = links.unionByName(more)
+    return links, components(links) if more.head(1) else parts
 
 
 def _close(one: str, two: str, percent: int) -> Column:
@@ -397,7 +542,7 @@ def _crossing(rest: DataFrame, sets: DataFrame, prefixes: DataFrame, percent: in
     """
     described = sets.select("doc", "mixed", *_LANES).join(prefixes.select("doc", "kept"), "doc")
     rest = written_table(rest.join(described, "doc"), "rest")
-    first, second = (F.expr(f"kept[cast({place} as int)]") for place in ("shiftrightunsigned(at, 32)", "at & 4294967295L"))
+    first, second = (F.expr(f"get(kept, cast({place} as int))") for place in ("shiftrightunsigned(at, 32)", "at & 4294967295L"))
     marked = rest.withColumn("mark", F.when(F.col("side") == 0, F.array(first, second)).otherwise(F.array(first)))
     minor = marked.filter("part != major")
     rows, columns = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("minor", "rows"))
@@ -417,7 +562,7 @@ def _crossing(rest: DataFrame, sets: DataFrame, prefixes: DataFrame, percent: in
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, light: int | None = None,
-    small: int = 1_000_000,
+    small: int = 1_000_000, parted: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id.
 
@@ -425,7 +570,8 @@ def jaccard_components(
     are one set with the smallest id. Rows that repeat an id are answered by their own text each; sets
     of which the same id is the smallest count as one document. A row with a null id has a
     component_id only if a text with an id has its set. Columns other than id (an integer) and text are
-    ignored. ``light`` sets the boundary by hand; results don't depend on it.
+    ignored. ``light`` sets the boundary of pairs and single shingles by hand, ``parted`` the size above
+    which sets meet in parts (none with ``light`` alone); results depend on neither.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     counts = shingle_counts(rows, size)
@@ -442,7 +588,7 @@ def jaccard_components(
         distinct = distinct.dropDuplicates(["doc", *hashes]).drop("mixed")
         distinct = distinct.join(rows_by(distinct, "doc").select("doc", F.expr("rows > 1 AS mixed")), "doc")
     distinct = written_table(distinct, "distinct")
-    parts = jaccard_links(distinct, rows, size, percent, light, small)
+    parts = jaccard_links(distinct, rows, size, percent, light, small, parted)
     known = sets.join(parts, "doc", "left") if parts is not None else sets.withColumn("part", F.lit(None).cast("long"))
     known = written_table(known.select(*hashes, F.coalesce("part", "doc").alias("component_id"), "rows"), "known")
     answered = salted_join(described.select("id", *hashes), known.drop("rows"), hashes, "id", known, "left")

@@ -110,3 +110,68 @@ def test_boundary_is_the_cheapest():
     boundary = J.light_boundary([(0, 0.0, 5.0), (20, 10.0, 40.0), (40, 500.0, 90.0)])
     assert np.floor(np.log(boundary) / J.LOG_STEP) == 20 < np.floor(np.log(boundary + 1) / J.LOG_STEP)
     assert J.light_boundary([(10, 9.0, 1.0)]) == 0 and J.light_boundary([]) == 0
+
+
+@pytest.mark.parametrize("seed,parted", [(0, 0), (1, 0), (2, 60), (3, 100)])
+def test_parts_equal_all_pairs(spark, monkeypatch, seed, parted):
+    """All sets meet in parts, or smaller ones in lists and larger ones in parts with links across the boundary."""
+    if seed % 2:
+        for name, value in (("HOT", 5), ("BLOCK", 3), ("CROSS", 0)):
+            monkeypatch.setattr(J, name, value)
+    rows = crowd(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small = 0 if seed == 1 else 1_000_000  # nothing is broadcast, and copies are posted too
+    got = {r.id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs, parted=parted, small=small).collect()}
+    assert got == plain(rows)
+
+
+def test_parts_with_repeated_ids_and_copies(spark):
+    one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, one), (1, two), (1, two), (2, one + " x"), (3, two + " x"), (4, "alone"), (None, one), (9, one), (None, None)]
+    for small in (0, 1_000_000):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {(r.id, r.component_id) for r in J.jaccard_components(docs, parted=0, small=small).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (None, 1), (9, 1), (None, None)}
+
+
+@pytest.mark.parametrize("percent", [50, 85, 99, 100])
+def test_linked_sets_share_a_part(percent):
+    """Pairs at the very threshold, also of neighbouring classes and with more empty parts than are spared."""
+    rng = np.random.default_rng(percent)
+    classes = J.part_classes(4000, percent)
+    tops, parts, empty = classes
+    assert all(100 * low // percent <= high for low, high in zip(tops, tops[1:]))
+    for n in [1, 2, 5, 6, 7, 8, 9, 12, 13, 20] * 40 + [33, 60, 100, 333, 1000] * 8 + [3000] * 2:
+        small = int(rng.integers(J.need(n, percent), n + 1))
+        pool = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
+        # the smallest overlap that links: 100 * both >= percent * (n + small - both)
+        both = -(-percent * (n + small) // (100 + percent))
+        if both > small:
+            continue
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : n + small - both]]))
+        if np.array_equal(a, b):
+            continue  # equal sets are one
+        assert np.intersect1d(J.part_keys(a, classes, 0), J.part_keys(b, classes, 0)).size, (n, small, both)
+        assert np.intersect1d(J.part_keys(a, classes, n - 1), J.part_keys(b, classes, n - 1)).size, (n, small, both)
+    # Sets whose shingles all lie in one part have the others empty; they still meet.
+    crowded = np.sort(rng.integers(0, 2**40, 41, dtype=np.uint64))
+    if percent == 85:
+        assert np.intersect1d(J.part_keys(crowded[:40], classes, 0), J.part_keys(crowded[1:], classes, 0)).size
+
+
+def test_lists_of_unrelated_texts_stay_short(spark, monkeypatch):
+    """Texts of few words share single shingles and pairs of them, more so in a larger table, but hardly any part."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(8)}" for _ in range(90))) for i in range(900)]
+    kept = {}
+    write = J.written_table
+
+    def counted(df, name, *more):
+        table = write(df, name, *more)
+        kept[name] = kept.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(J, "written_table", counted)
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.filter("id != component_id").count() == 0
+    assert kept.get("members", 0) + kept.get("rest", 0) + kept.get("partlists", 0) < len(rows)
