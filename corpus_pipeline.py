@@ -16,11 +16,12 @@ from lexiloom.llm.exact_dedup import content_groups
 from lexiloom.llm.mixing import mix_to_targets
 from lexiloom.llm.near_dups import near_duplicates
 from lexiloom.llm.toxicity import toxicity_score, train
-from lexiloom.session import written_table
+from lexiloom.session import bound_batches, bounded_batches, written_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that score below one half."""
+    """Rows that score below one half. They are scored when the result is read, so the session keeps the bound on batches."""
+    bound_batches(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     return docs.filter(toxicity_score(model) < 0.5)
 
@@ -62,6 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written_table(stage(spark, docs, sf_dir), name)
+    with bounded_batches(spark):
+        for name, stage in STAGES:
+            docs = written_table(stage(spark, docs, sf_dir), name)
     return docs

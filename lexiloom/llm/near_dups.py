@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import written_table
+from ..session import bounded_batches, written_table
 from .base import query, small_or_shuffled, table, text_or_empty
 
 SHINGLE = 5
@@ -291,11 +291,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Columns other than id (an integer) and text are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    described = written_table(rows.mapInArrow(_describe, "id long, n int, s1 long, s2 long, signature array<int>"), "described")
-    sets = described.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2")
-    sets = sets.agg(F.min("id").alias("doc"), F.first("signature").alias("signature"))
-    sets = written_table(sets, "sets")
-    parts = _link_sets(rows, sets, small)
+    with bounded_batches(docs.sparkSession):  # all Python work is done inside
+        described = written_table(rows.mapInArrow(_describe, "id long, n int, s1 long, s2 long, signature array<int>"), "described")
+        sets = described.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2")
+        sets = sets.agg(F.min("id").alias("doc"), F.first("signature").alias("signature"))
+        sets = written_table(sets, "sets")
+        parts = _link_sets(rows, sets, small)
     return _answer(described, sets, parts)
 
 

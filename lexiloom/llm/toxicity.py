@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import written_table
+from ..session import bounded_batches, written_table
 from .base import query, table, text_or_empty
 
 #: The classifier learns from at most about so many labelled rows, chosen by a hash of the id.
@@ -38,6 +38,8 @@ SECOND_PERSON = frozenset(
     "you your yours yourself du dich dir dein deine euch ihr tu toi te ton vous votre usted ustedes ti tú vosotros".split()
 )
 REACH = 5
+#: Words whose weight a worker remembers, and texts that it turns into features at once.
+KNOWN_WORDS, TEXTS = 200_000, 256
 WORD = re.compile(r"[^\W_]+")
 SHOUT = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 MASKED = re.compile(r"[^\W\d_]+(?:[0134578@$!*.+-]+[^\W\d_]+)+")
@@ -66,7 +68,7 @@ class _Weights(dict):
 
     def __missing__(self, word: str) -> float:
         weight = max((self.terms.get(t, 0.0) for t in text_terms(word)), default=0.0)
-        if len(self) > 2_000_000:  # keeps a worker's memory bounded; only speeds up
+        if len(self) >= KNOWN_WORDS:  # keeps a worker's memory bounded; only speeds up
             self.clear()
         self[word] = weight
         return weight
@@ -186,14 +188,19 @@ class Model:
     knots: np.ndarray
     values: np.ndarray
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        weights = _Weights(self.terms)
+    def score(self, texts: list[str], weights: _Weights | None = None) -> np.ndarray:
+        weights = _Weights(self.terms) if weights is None else weights
         if self.trees is None or not texts:
             return np.full(len(texts), float(self.values[0]))
         x = np.array([features(t, weights) for t in texts])
         return np.interp(self.trees.margin(x), self.knots, self.values)
 
 
+def _texts(batch: pa.Array) -> Iterator[list[str]]:
+    for i in range(0, len(batch), TEXTS):
+        yield batch.slice(i, TEXTS).to_pylist()
+
+
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -233,16 +240,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("l_id"))  # at most about max_labelled rows
     part = F.pmod(F.xxhash64("text", F.lit("part")), F.lit(5))  # copies of a text stay in one part
     sample = sample.select("text", "toxic", (part == 0).alias("aside")).groupBy("text", "aside").agg(F.max("toxic").alias("toxic"))
-    sample = written_table(sample, "labelled")
-    terms = _learn_terms(sample.filter(~F.col("aside")))
+    with bounded_batches(docs.sparkSession):
+        sample = written_table(sample, "labelled")
+        terms = _learn_terms(sample.filter(~F.col("aside")))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _Weights(terms)
         for batch in batches:
-            x = [features(t, weights) for t in batch["text"].to_pylist()]
+            x = [features(t, weights) for texts in _texts(batch["text"]) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch["toxic"], batch["aside"]], ["x", "toxic", "aside"])
 
-    got = sorted(sample.mapInArrow(measure, "x array<double>, toxic int, aside boolean").collect())
+    with bounded_batches(docs.sparkSession):
+        got = sorted(sample.mapInArrow(measure, "x array<double>, toxic int, aside boolean").collect())
     x = np.array([r.x for r in got]).reshape(len(got), len(FEATURES))
     y, aside = np.array([r.toxic for r in got], float), np.array([r.aside for r in got], bool)
     if len(np.unique(y[~aside])) < 2 or not aside.any():
@@ -254,10 +263,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def toxicity_score(model: Model, text_col: str = "text") -> Column:
     """Column of scores from 0 to 1; null text counts as empty."""
 
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(texts.to_pylist()), pa.float64())
+    return F.arrow_udf(toxicity_scorer(model), "double")(text_or_empty(text_col))
+
+
+def toxicity_scorer(model: Model) -> Callable[[pa.Array], pa.Array]:
+    """Scores of a batch; texts leave it ``TEXTS`` at a time, and word weights last from batch to batch."""
+    weights = _Weights(model.terms)
+
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array([v for texts in _texts(batch) for v in model.score(texts, weights)], pa.float64())
 
-    return F.arrow_udf(run, "double")(text_or_empty(text_col))
+    return run
 
 
 @query("op3_toxicity")
