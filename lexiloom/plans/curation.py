@@ -19,7 +19,7 @@ from .cleaning import (
 )
 from .registry import Tables, query
 from .sources import DAMAGED, damaged_lines
-from .tokens import whole_texts
+from .tokens import raw_texts, whole_texts
 
 WHITE = "' ' || chr(9) || chr(13) || chr(10)"
 
@@ -191,7 +191,7 @@ def stream_frames(t: Tables):
 def bpe_roundtrip(t: Tables):
     """Encoding with a whole vocabulary and decoding gives the detokenised text back when the alphabet covers all characters."""
     texts = whole_texts(t)
-    words = written_table(B.word_table(texts), "bpe-words")
+    words = written_table(B.word_table(raw_texts(t)), "bpe-words")
     chars = B.alphabet(words, coverage=1.0)
     merges = B.train_bpe(words, n_merges=V.VOCAB_SIZE - len(chars) - 4)
     vocab = B.build_vocab(chars, merges)
