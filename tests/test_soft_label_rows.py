@@ -53,3 +53,37 @@ def test_divergence_of_positions(spark, soft):
     assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
     # the rows given to the worker hold what was cut, not what it was cut from
     assert "Project [slice(" in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["aligned_soft_labels", "project_topk"])
+def test_no_spans_are_written(spark, monkeypatch, name):
+    """Of a text's tokens only the ids are written; words and spans are several times the size of the text."""
+    from lexiloom.plans import QUERIES
+    from lexiloom.plans import softlabels as P
+
+    written, real = [], P.written_table
+
+    def kept(df, *args):
+        table = real(df, *args)
+        written.append(df.schema)
+        return table
+
+    monkeypatch.setattr(P, "written_table", kept)
+    QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    arrays = {f.name: f.dataType.simpleString() for schema in written for f in schema if f.dataType.typeName() == "array"}
+    assert arrays == {"ids": "array<int>"}
+
+
+def test_texts_are_split_once_to_be_counted(spark):
+    """A plain explosion has a filter on the array's size, which makes Spark split each text three times."""
+    from lexiloom.operators import bpe as B
+    from lexiloom.operators import tokens as K
+
+    docs = spark.createDataFrame([("a b, a",), ("",), ("b",)], "text string")
+    counted = docs.withColumn("w", K.pieces(F.col("text"), r"\w+"))
+    vocab = K.word_vocab(counted)
+    assert [tuple(r) for r in vocab.collect()] == [("a", 5), ("b", 6)]
+    words = {r.symbols.replace(B.OPEN, "").replace(B.CLOSE, ""): r.freq for r in B.word_table(docs).collect()}
+    assert words == {"▁a": 2, "▁b": 2, "▁,": 1}
+    for table, call, times in ((vocab, "regexp_extract_all(", 1), (B.word_table(docs), "regexp_replace(", 2)):
+        assert table._jdf.queryExecution().optimizedPlan().toString().count(call) == times
