@@ -87,3 +87,18 @@ def test_texts_are_split_once_to_be_counted(spark):
     assert words == {"▁a": 2, "▁b": 2, "▁,": 1}
     for table, call, times in ((vocab, "regexp_extract_all(", 1), (B.word_table(docs), "regexp_replace(", 2)):
         assert table._jdf.queryExecution().optimizedPlan().toString().count(call) == times
+
+
+def test_rank_table_has_positions_and_subwords(spark, tmp_path):
+    """It used to leave out the positions and the decoding of the ids."""
+    from lexiloom.plans import QUERIES
+
+    docs = [(1, "a b a"), (2, "a"), (3, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.rank, r.token): r for r in QUERIES["softlabel_rank_table"](spark, str(tmp_path)).collect()}
+    names = {r.token: r.subword for r in got.values()}
+    assert names[1] == "<PAD>" and set(names.values()) == {"<PAD>", "a", "b", " "}
+    top = {names[token]: (r.n, r.first_pos, r.last_pos, r.pos_sum) for (rank, token), r in got.items() if rank == 1}
+    # after "a" a gap (positions 0), after a gap "a" or "b" (the lesser id first), after "b" a gap
+    assert top[" "] == (2, 0, 2, 2) and sum(v[0] for v in top.values()) == 4
+    assert sum(r.pos_sum for r in got.values()) == 16 * (0 + 1 + 2 + 3)
